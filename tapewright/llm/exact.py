@@ -30,8 +30,9 @@ def _judge(docs: DataFrame, id_col: str, text_col: str, keep: str, hash_fn: Call
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"), payload.alias("payload"))
     rows = rows.withColumn("h", hash_fn(F.col("body")))
     # The hashes are counted first: only rows whose hash recurs have anything to compare.
-    sizes = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    located = rows.join(sizes, "h").select(
+    # Written out, so that both sides of the join are plain shuffles and a hot hash can be split.
+    sizes = materialize(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "exact-sizes")
+    located = rows.join(sizes, "h", "left").select(
         "id", "payload", "h",
         F.unhex(F.sha2(F.col("body").cast("binary"), 256)).alias("sha"),
         F.when(F.col("n") > 1, F.col("body")).alias("body"),
@@ -48,6 +49,7 @@ def _judge(docs: DataFrame, id_col: str, text_col: str, keep: str, hash_fn: Call
     judged = twins.join(model, "h").select("id", "tie", "h", "sha", "payload", F.when(F.col("body") != F.col("model"), F.col("body")).alias("odd"))
     judged = materialize(judged, "exact-judged")
     groups = judged.groupBy(F.col("h").alias("gh"), F.col("odd").alias("godd")).agg(F.count(F.lit(1)).alias("group_size"), _best(keep).alias("b"))
+    groups = materialize(groups, "exact-groups")
     settled = judged.join(groups, (F.col("h") == F.col("gh")) & F.col("odd").eqNullSafe(F.col("godd"))).select(
         "id", F.col("b.id").alias("keep_id"), "group_size", (F.col("tie") == F.col("b.tie")).alias("kept"), "sha", "payload"
     )
