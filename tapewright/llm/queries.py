@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact
+from . import exact, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +17,15 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_table(spark, sf_dir, "documents"), keep="max")
 
 
+def op9_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_verdicts(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_exact_dedup": op6_exact_dedup}
+    return {
+        "op6_exact_dedup": op6_exact_dedup,
+        "op9_quality_outliers": op9_quality_outliers,
+    }
 
 
 ORACLE: dict[str, str] = {
