@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, minhash, quality
+from . import exact, minhash, packing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,8 +25,13 @@ def op5_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=2)
 
 
+def op3_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_mixture_packing": op3_mixture_packing,
         "op5_minmax_near_dedup": op5_minmax_near_dedup,
         "op6_exact_dedup": op6_exact_dedup,
         "op9_quality_outliers": op9_quality_outliers,
