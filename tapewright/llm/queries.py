@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, minhash, packing, quality, rans
+from . import chunks, exact, minhash, packing, quality, rans
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,8 +33,13 @@ def op7_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.coded(_table(spark, sf_dir, "documents"))
 
 
+def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.round_trip(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op10_bpe_round_trip": op10_bpe_round_trip,
         "op7_rans_token_files": op7_rans_token_files,
         "op3_mixture_packing": op3_mixture_packing,
         "op5_minmax_near_dedup": op5_minmax_near_dedup,
