@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunks, exact, minhash, packing, quality, rans
+from . import chunks, exact, minhash, packing, passages, quality, rans
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,8 +37,13 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op4_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.shared_passages(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_shared_passages": op4_shared_passages,
         "op10_bpe_round_trip": op10_bpe_round_trip,
         "op7_rans_token_files": op7_rans_token_files,
         "op3_mixture_packing": op3_mixture_packing,
