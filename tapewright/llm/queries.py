@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunks, exact, minhash, packing, passages, quality, rans
+from . import chunks, exact, minhash, packing, passages, quality, rans, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,8 +41,13 @@ def op4_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.shared_passages(_table(spark, sf_dir, "documents"))
 
 
+def op2_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_url_vocabulary": op2_url_vocabulary,
         "op4_shared_passages": op4_shared_passages,
         "op10_bpe_round_trip": op10_bpe_round_trip,
         "op7_rans_token_files": op7_rans_token_files,
@@ -54,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 ORACLE: dict[str, str] = {
+    "op2_url_vocabulary": urls.oracle(),
     "op6_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER same AS keep_id,
