@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunks, exact, minhash, packing, passages, quality, rans, urls
+from . import chunks, cotrain, exact, langid, minhash, packing, passages, quality, rans, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,8 +45,18 @@ def op2_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op1_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
+
+
+def op8_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op8_cotrained_quality": op8_cotrained_quality,
+        "op1_language_fusion": op1_language_fusion,
         "op2_url_vocabulary": op2_url_vocabulary,
         "op4_shared_passages": op4_shared_passages,
         "op10_bpe_round_trip": op10_bpe_round_trip,
