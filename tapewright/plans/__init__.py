@@ -1 +1,6 @@
+"""Registered queries: importing this package fills the registry."""
 
+from . import features  # noqa: F401
+from .registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
