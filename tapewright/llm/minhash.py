@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .components import components
 from .scratch import materialize
@@ -19,8 +20,8 @@ from .shingles import mixed, shingle_set
 FUNCTIONS = 180
 #: Values in a band. A pair of similarity 0.8 misses all 60 bands with a probability of 1.2e-8.
 ROWS = 6
-#: Rounds in which each unsettled bucket compares its members with one of them, before pairs are listed.
-STARS = 4
+#: Rounds in which each unsettled bucket compares its members with one more of them.
+STARS = 1
 
 _BLOCK = 512
 
@@ -118,6 +119,52 @@ def _unsettled(live: DataFrame, labels: DataFrame) -> DataFrame:
     return materialize(named.join(materialize(mixed_up, "near-unsettled"), "bucket"), "near-live")
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after more links."""
+    if links.isEmpty():
+        return labels
+    return components(links.union(labels.where("node <> component").select("node", "component")))
+
+
+def _shingle_rows(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, len(whole), 500):
+                batch = whole.slice(start, 500)
+                sets = [shingle_set(t.as_py(), k).view(np.int64) for t in batch.column(1)]
+                rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+                yield pa.record_batch([batch.column(0).take(pa.array(rows)), pa.array(np.concatenate(sets))], names=["id", "shingle"])
+
+    return run
+
+
+def _prefix_pairs(nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """All pairs of nodes in different components that can be similar enough, by their rarest shingles.
+
+    If two sets are similar enough, then in one order of all shingles, here the
+    rarest first, the first ones of both share a shingle: for the larger set
+    ``n - ceil(t n) + 1`` of them, for the smaller ``n - ceil(2 t n / (1 + t)) + 1``.
+    What remains after the first shared one must suffice for the overlap.
+    """
+    rows = texts.join(nodes.select(F.col("node").alias("id")), "id", "left_semi").mapInArrow(_shingle_rows(k), "id long, shingle long").distinct()
+    rows = materialize(rows, "near-shingles")
+    often = materialize(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "near-often")
+    # A shingle of one node is the rarest there is; it takes a place at the front but never meets another.
+    ranked = rows.join(often, "shingle", "left").withColumn("often", F.coalesce("often", F.lit(1)))
+    ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("often", "shingle"))).where("often > 1")
+    ranked = ranked.join(nodes.withColumnRenamed("node", "id"), "id").select("shingle", "id", "component", "n", "place")
+    least = lambda c: -F.floor(-c).cast("long")
+    ranked = materialize(ranked.where(F.col("place") <= F.col("n") - least(F.col("n") * percent / 100) + 1), "near-prefixes")
+    small = ranked.where(F.col("place") <= F.col("n") - least(2 * percent * F.col("n") / (100 + percent)) + 1)
+    small = small.select("shingle", *[F.col(c).alias(f"o_{c}") for c in ("id", "component", "n", "place")])
+    rest = 1 + F.least(F.col("n") - F.col("place"), F.col("o_n") - F.col("o_place"))
+    enough = (100 + percent) * rest >= percent * (F.col("n") + F.col("o_n"))
+    # Ties in size meet once, by id.
+    ordered = (F.col("o_n") < F.col("n")) | ((F.col("o_n") == F.col("n")) & (F.col("o_id") < F.col("id")))
+    met = ranked.join(small, "shingle").where(ordered & (F.col("component") != F.col("o_component")) & _fits(percent, F.col("n"), F.col("o_n")) & enough)
+    return _pairs(met.select(F.col("id").alias("x"), F.col("o_id").alias("y")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """For every row: ``<id_col>, n_shingles, component_id, kept``.
 
@@ -128,9 +175,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Equal sets are first reduced to one node. Nodes that share a band meet in a
     bucket. Each bucket compares its members with one of them, links are
     confirmed on the texts, and components form; buckets whose members are all
-    in one component are settled. After ``STARS`` rounds with other members the
-    pairs still in question, members of one bucket in different components, are
-    all compared. No bucket is gathered in a task.
+    in one component are settled. After another round with other members, what
+    is still in question, members of unsettled buckets in different components,
+    is joined exactly by the rarest shingles of each set, and the pairs that can
+    be similar enough are compared. No bucket is gathered in a task.
 
     Text that is null or has no words gives an empty set, linked with nothing.
     A row without an id is linked with nothing, has a null component and is
@@ -149,23 +197,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     tested = materialize(_pairs(live.select(F.col("center").alias("x"), F.col("node").alias("y"))), "near-pairs")
     labels = components(_confirmed(tested, texts, k, percent))
-    for star in range(STARS + 1):
+    for star in range(STARS):
         live = _unsettled(live, labels)
-        if live.isEmpty():
-            break
-        if star < STARS:
-            first = F.min(F.struct(F.xxhash64("node", F.lit(star)), "node", "component", "n")).alias("c")
-            other = materialize(live.groupBy("bucket").agg(first).select("bucket", *[F.col(f"c.{c}").alias(f"o_{c}") for c in ("node", "component", "n")]), "near-centers")
-        else:
-            other = live.select("bucket", *[F.col(c).alias(f"o_{c}") for c in ("node", "component", "n")])
-        apart = F.col("component") != F.col("o_component") if star < STARS else F.col("component") < F.col("o_component")
-        met = live.join(other, "bucket").where(apart & _fits(percent, F.col("n"), F.col("o_n")))
+        first = F.min(F.struct(F.xxhash64("node", F.lit(star)), "node", "component", "n")).alias("c")
+        other = materialize(live.groupBy("bucket").agg(first).select("bucket", *[F.col(f"c.{c}").alias(f"o_{c}") for c in ("node", "component", "n")]), "near-centers")
+        met = live.join(other, "bucket").where((F.col("component") != F.col("o_component")) & _fits(percent, F.col("n"), F.col("o_n")))
         new = _pairs(met.select(F.col("node").alias("x"), F.col("o_node").alias("y"))).join(tested, ["a", "b"], "left_anti")
         new = materialize(new, "near-pairs")
-        links = _confirmed(new, texts, k, percent)
-        if not links.isEmpty():
-            labels = components(links.union(labels.where("node <> component").select("node", "component")))
+        labels = _joined(labels, _confirmed(new, texts, k, percent))
         tested = tested.union(new)
+    live = _unsettled(live, labels)
+    new = materialize(_prefix_pairs(live.select("node", "component", "n").distinct(), texts, k, percent).join(tested, ["a", "b"], "left_anti"), "near-pairs")
+    labels = _joined(labels, _confirmed(new, texts, k, percent))
 
     labels = materialize(labels, "near-labels")
     named = signed.select("id", "n", "mark").join(classes, "mark", "left").join(labels, "node", "left")
