@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def distance(a: Column, b: Column, weights: list[float] | None = None) -> Column:
@@ -17,16 +18,15 @@ def distance(a: Column, b: Column, weights: list[float] | None = None) -> Column
 def knn_join(queries: DataFrame, memory: DataFrame, k: int, gates: list[str], vector: str = "embedding", key: str = "vec_id", weights: list[float] | None = None) -> DataFrame:
     """The ``k`` nearest rows of ``memory`` that share a query's gates, itself excluded.
 
-    The gates are equi-join keys. A bounded aggregate keeps the best ``k`` of each
-    query in every task before the shuffle, so no query gathers all its candidates.
+    The gates are equi-join keys. The limit on the rank lets every task keep the
+    best ``k`` of each query before the shuffle, so no query gathers all its
+    candidates.
     """
     q = queries.select(F.col(key).alias("query"), F.col(vector).alias("_q"), *gates)
     m = memory.select(F.col(key).alias("neighbor"), F.col(vector).alias("_m"), *gates)
     met = q.join(m, gates).where("query <> neighbor").select("query", "neighbor", distance(F.col("_q"), F.col("_m"), weights).alias("distance"))
-    spread = met.withColumn("_slice", F.pmod(F.xxhash64("neighbor"), F.lit(16)))
-    part = spread.groupBy("query", "_slice").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbor"))), 1, k).alias("best"))
-    best = part.groupBy("query").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
-    return best.select("query", F.posexplode("best").alias("_p", "_b")).select("query", (F.col("_p") + 1).alias("rank"), "_b.neighbor", "_b.distance")
+    place = F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbor"))
+    return met.withColumn("rank", place).where(F.col("rank") <= k).select("query", "rank", "neighbor", "distance")
 
 
 def neighbor_outcomes(matches: DataFrame, outcomes: DataFrame, key: str, value: str, least: int = 3) -> DataFrame:
