@@ -16,12 +16,12 @@ def test_chunks_cover_the_text_and_end():
 def test_planted_sentences(spark):
     rows = [
         (1, "After 3 consecutive down days buy the open. Nothing else.\nAfter 3 red days buy again"),
-        (2, "It gaps up by 2.5% on news! It GAPS UP 2.5 percent. gap down 99%"),
+        (2, "It gaps up by 3% on news! It GAPS UP 3 percent. gap down 99%. Full stops cut 2.5% in two"),
         (3, "Stocks within 5% of the 52-week low bounce. After 30 down days nothing"),
         (4, None),
         (5, "short"),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r["doc_id"], r["condition"], r["value"], r["place"]) for r in texts.extract_conditions(docs).collect()}
-    assert got == {(1, "consecutive_down", 3.0, 0), (2, "gap_up", 2.5, 0), (3, "near_52w_low", 5.0, 0)} or {g[:3] for g in got} == {(1, "consecutive_down", 3.0), (2, "gap_up", 2.5), (3, "near_52w_low", 5.0)}
+    assert got == {(1, "consecutive_down", 3.0, 0), (2, "gap_up", 3.0, 0), (3, "near_52w_low", 5.0, 0)}
     assert templates.chunk_text(docs).where(F.col("doc_id") == 4).count() == 0
