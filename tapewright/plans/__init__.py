@@ -1,6 +1,6 @@
 """Registered queries: importing this package fills the registry."""
 
-from . import conditions, cross_section, features, outcomes, patterns, recursive, research, rest, studies, tables, templates  # noqa: F401
+from . import conditions, cross_section, features, models, outcomes, patterns, recursive, research, rest, studies, tables, templates  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
