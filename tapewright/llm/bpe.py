@@ -20,11 +20,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words that a worker keeps in each of its two generations of reused ids.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 200_000
 #: Longer words are encoded each time they occur.
 LONGEST_KEPT = 64
 #: Bytes of text that are encoded at a time.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 #: Letters whose lower-casing and composition are the same in Python and in the library.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+\Z")

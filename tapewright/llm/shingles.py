@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Word hashes that a worker keeps for reuse.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 150_000
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _hashes: dict[bytes, int] = {}
