@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: A correlation that is no larger counts as zero: sums of floats leave such traces.
+EPSILON = 1e-12
+
 
 def average_rank(c: str, by: Iterable[str]) -> Column:
     """Rank from 1 with ties at their mean, among the rows where ``c`` is known."""
@@ -46,7 +49,7 @@ def daily_ic(rows: DataFrame, features: Iterable[str], target: str, by: str = "t
 
 def ic_summary(ics: DataFrame) -> DataFrame:
     """Mean, deviation, information ratio, t and share of positive dates by feature."""
-    out = ics.groupBy("feature").agg(F.avg("ic").alias("mean_ic"), F.stddev_samp("ic").alias("std_ic"), F.avg((F.col("ic") > 0).cast("int")).alias("positive"), F.count(F.lit(1)).alias("n_dates"))
+    out = ics.groupBy("feature").agg(F.avg("ic").alias("mean_ic"), F.stddev_samp("ic").alias("std_ic"), F.avg((F.col("ic") > EPSILON).cast("int")).alias("positive"), F.count(F.lit(1)).alias("n_dates"))
     ratio = F.when(F.col("std_ic") > 0, F.col("mean_ic") / F.col("std_ic"))
     return out.withColumns({"ir": ratio, "t_stat": ratio * F.sqrt("n_dates")})
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.windows import by_symbol, frame, full, lag
-from .cross_section import daily_ic, ic_summary
+from .cross_section import EPSILON, daily_ic, ic_summary
 from .outcomes import normal_tail
 
 
@@ -41,7 +41,7 @@ def calendar_context(bars: DataFrame, events: DataFrame, event_type: str = "expi
 def regime_ic(rows: DataFrame, features: Iterable[str], target: str, regimes: DataFrame) -> DataFrame:
     """Rank ICs by regime of the date (``ts, regime``; a date may be in several)."""
     ics = daily_ic(rows, features, target).join(regimes, "ts")
-    out = ics.groupBy("feature", "regime").agg(F.avg("ic").alias("mean_ic"), F.avg((F.col("ic") > 0).cast("int")).alias("positive"), F.count(F.lit(1)).alias("n_dates"))
+    out = ics.groupBy("feature", "regime").agg(F.avg("ic").alias("mean_ic"), F.avg((F.col("ic") > EPSILON).cast("int")).alias("positive"), F.count(F.lit(1)).alias("n_dates"))
     kind = F.when((F.col("n_dates") >= 20) & (F.abs("mean_ic") >= 0.03), F.when(F.col("mean_ic") > 0, "useful").otherwise("inverse")).otherwise("noise")
     return out.withColumn("kind", kind)
 

@@ -57,7 +57,7 @@ def _(spark, sf):
 
 @query(
     "ic_summary",
-    f"""WITH {_IC}, s AS (SELECT feature, avg(ic) AS mean_ic, stddev_samp(ic) AS std_ic, avg(CASE WHEN ic > 0 THEN 1 ELSE 0 END) AS positive, count(*) AS n_dates FROM ics GROUP BY feature)
+    f"""WITH {_IC}, s AS (SELECT feature, avg(ic) AS mean_ic, stddev_samp(ic) AS std_ic, avg(CASE WHEN ic > 1e-12 THEN 1 ELSE 0 END) AS positive, count(*) AS n_dates FROM ics GROUP BY feature)
     SELECT feature, n_dates, {", ".join(f"{s_round(c)} AS {c}" for c in ("mean_ic", "std_ic", "positive"))}, {s_round("mean_ic / std_ic")} AS ir, {s_round("mean_ic / std_ic * sqrt(n_dates)")} AS t_stat FROM s""",
 )
 def _(spark, sf):

@@ -46,7 +46,7 @@ _REG = f"market AS (SELECT 'market' AS symbol, ts, avg(close) AS close FROM week
 
 @query(
     "regime_ic",
-    f"""WITH {_IC}, {_REG}, g AS (SELECT feature, regime, avg(ic) AS m, avg(CASE WHEN ic > 0 THEN 1 ELSE 0 END) AS p, count(*) AS n FROM ics JOIN reg USING (ts) GROUP BY feature, regime)
+    f"""WITH {_IC}, {_REG}, g AS (SELECT feature, regime, avg(ic) AS m, avg(CASE WHEN ic > 1e-12 THEN 1 ELSE 0 END) AS p, count(*) AS n FROM ics JOIN reg USING (ts) GROUP BY feature, regime)
     SELECT feature, regime, n AS n_dates, {s_round("m")} AS mean_ic, {s_round("p")} AS positive, CASE WHEN n >= 20 AND abs(m) >= 0.03 THEN CASE WHEN m > 0 THEN 'useful' ELSE 'inverse' END ELSE 'noise' END AS kind FROM g""",
 )
 def _(spark, sf):
