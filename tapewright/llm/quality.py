@@ -35,7 +35,9 @@ MIN_GROUP = 64
 #: Squared distance beyond which a document is an outlier: 1 - 1e-9 of chi-squared with 4 degrees of freedom.
 CUTOFF = 48.0
 #: Smallest standard deviation of each statistic, in binary logarithms: word length, symbols, repeated lines, repeated words.
-FLOORS = (0.12, 0.6, 1.5, 1.5)
+#: Where most of a group has none of a thing, its spread is 0, and one in 300 words stands in; for word length, the error of
+#: a mean over 80 words. So each statistic can reject by itself: the square root of ``CUTOFF`` times a floor is in its range.
+FLOORS = (0.08, 0.42, 0.42, 0.42)
 
 UNIT = 1024
 DIMS = (1, 2, 3, 4)

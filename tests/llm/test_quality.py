@@ -61,3 +61,20 @@ def test_verdicts_and_stage(odd_docs, no_docs):
     assert kept.count() == found.where("kept").count()
     assert quality.quality_verdicts(no_docs).count() == 0
     assert quality.keep_quality(no_docs).count() == 0
+
+
+def test_each_statistic_rejects_by_itself(spark):
+    """Outliers in one statistic each, in a group that has hardly any of the last three."""
+    rnd = np.random.default_rng(8)
+    rows = []
+    for i in range(400):
+        n = int(rnd.integers(100, 400))
+        rows.append([i, "en", "s", False, n, n * 5 + int(rnd.integers(-n // 4, n // 4)), int(i % 20 == 0), int(i % 25 == 0), 9 * int(i % 40 == 0)])
+    for k, planted in enumerate(({5: 1600}, {6: 20}, {7: 20}, {8: 60})):
+        row = [400 + k, "en", "s", False, 200, 1000, 0, 0, 0]
+        for at, v in planted.items():
+            row[at] = v
+        rows.append(row)
+    stats = spark.createDataFrame([tuple(r) for r in rows], "row long, lang string, source string, base_failed boolean, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
+    gone = {r["row"] for r in quality.outlier_distances(stats).collect() if r["d2"] > quality.CUTOFF}
+    assert gone == {400, 401, 402, 403}
