@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 #: Word hashes that a worker keeps for reuse.
@@ -36,6 +38,21 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return out
 
 
+def batch_word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts (null: none), and the texts' bounds in them; each distinct word is hashed once."""
+    # take() makes a compact copy: some string kernels misread the offset of a sliced array.
+    texts = pc.fill_null(texts, "").cast(pa.large_string()).take(pa.array(np.arange(len(texts))))
+    words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    bounds = np.asarray(words.offsets)
+    known = words.values[bounds[0] : bounds[-1]].dictionary_encode()
+    names = known.dictionary.cast(pa.large_binary()).to_pylist()
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, len(names))
+    which, bounds = np.asarray(known.indices), bounds - bounds[0]
+    # White space at an end of a text leaves an empty word there.
+    real = np.fromiter(map(len, names), np.int64, len(names))[which] > 0
+    return hashes[which[real]], np.concatenate([[0], np.cumsum(real)])[bounds]
+
+
 def window_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     """A hash of every ``k`` successive words; nothing for shorter texts."""
     n = len(hashes) - k + 1
