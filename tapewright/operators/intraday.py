@@ -20,12 +20,12 @@ def session_columns(bars: DataFrame, zone: str = "UTC") -> DataFrame:
 
 
 def session_vwap(bars: DataFrame) -> DataFrame:
-    """Cumulative typical-price VWAP of the session, distance from it, side and crosses."""
+    """Cumulative typical-price VWAP of the session, distance from it, side and crosses; a billionth apart is no side."""
     run = _session().rowsBetween(Window.unboundedPreceding, 0)
     typical = (F.col("high") + F.col("low") + F.col("close")) / 3
     out = bars.withColumns({"_pv": F.sum(typical * F.col("volume")).over(run), "_v": F.sum("volume").over(run)})
     out = out.withColumn("vwap", F.when(F.col("_v") > 0, F.col("_pv") / F.col("_v"))).drop("_pv", "_v")
-    out = out.withColumns({"vwap_distance": F.col("close") / F.col("vwap") - 1, "above_vwap": F.col("close") > F.col("vwap")})
+    out = out.withColumns({"vwap_distance": F.col("close") / F.col("vwap") - 1, "above_vwap": F.round(F.col("close") - F.col("vwap"), 9) > 0})
     before = F.lag("above_vwap").over(Window.partitionBy("symbol").orderBy("ts"))
     return out.withColumns({"cross_up": F.coalesce(F.col("above_vwap") & ~before, F.lit(False)), "cross_down": F.coalesce(~F.col("above_vwap") & before, F.lit(False))})
 

@@ -11,7 +11,7 @@ from ..functions.windows import frame, full, lag, lead
 BIAS = {
     "doji": "neutral", "hammer": "bullish", "inverted_hammer": "bullish", "shooting_star": "bearish", "hanging_man": "bearish",
     "marubozu_bull": "bullish", "marubozu_bear": "bearish", "spinning_top": "neutral", "long_bull": "bullish", "long_bear": "bearish",
-    "bullish_engulfing": "bullish", "bearish_engulfing": "bearish", "bullish_harami": "bullish", "bearish_harami": "bearish",
+    "engulfing_bull": "bullish", "engulfing_bear": "bearish", "harami_bull": "bullish", "harami_bear": "bearish",
     "piercing_line": "bullish", "dark_cloud_cover": "bearish", "tweezer_bottom": "bullish", "tweezer_top": "bearish",
     "morning_star": "bullish", "evening_star": "bearish", "three_white_soldiers": "bullish", "three_black_crows": "bearish",
     "three_inside_up": "bullish", "three_inside_down": "bearish",
@@ -21,45 +21,50 @@ BIAS = {
 def _anatomy(bars: DataFrame) -> DataFrame:
     o, h, low, c = (F.col(x) for x in ("open", "high", "low", "close"))
     rows = bars.withColumns({"_b": F.abs(c - o), "_r": h - low, "_u": h - F.greatest(o, c), "_l": F.least(o, c) - low, "_g": c > o, "_k": c < o})
-    rows = rows.withColumns({"_avg": full(14, F.avg("_r"), frame(14)), "_pc": lag("close"), "_down": c < lag("close", 3), "_up": c > lag("close", 3)})
-    return rows.withColumns({f"{x}{n}": lag(x, n) for n in (1, 2) for x in ("_b", "_g", "_k", "open", "close", "high", "low")})
+    rows = rows.withColumn("_avg", full(14, F.avg("_r"), frame(14)))
+    return rows.withColumns({f"{x}{n}": lag(x, n) for n in (1, 2) for x in ("_b", "_g", "_k", "_avg", "open", "close", "high", "low")})
 
 
 def _rules() -> dict[str, Column]:
     c = F.col
-    o, h, low, close, b, r, u, d, avg = (c(x) for x in ("open", "high", "low", "close", "_b", "_r", "_u", "_l", "_avg"))
-    small, some = b <= 0.1 * r, r > 0
+    o, close, b, r, u, d, avg = (c(x) for x in ("open", "close", "_b", "_r", "_u", "_l", "_avg"))
+    # A bar without a range has no shares of it.
+    some, green, red, r = r > 0, c("_g"), c("_k"), F.nullif(r, F.lit(0.0))
+    hammer = some & (b / r < 0.35) & (d / r > 0.60) & (u / r < 0.10)
+    inverted = some & (b / r < 0.35) & (u / r > 0.60) & (d / r < 0.10)
+    bare = some & (d / r < 0.02) & (u / r < 0.02)
     mid1, mid2 = (c("open1") + c("close1")) / 2, (c("open2") + c("close2")) / 2
-    star = some & (u >= 2 * b) & (d <= 0.3 * b) & (b > 0)
-    tail = some & (d >= 2 * b) & (u <= 0.3 * b) & (b > 0)
-    inside = (F.greatest(o, close) < F.greatest("open1", "close1")) & (F.least(o, close) > F.least("open1", "close1"))
-    inside1 = (F.greatest("open1", "close1") < F.greatest("open2", "close2")) & (F.least("open1", "close1") > F.least("open2", "close2"))
-    even = lambda x, y: F.abs(c(x) - c(y)) <= 0.002 * c(y)
+    harami_bull = lambda n, m: c(f"_k{m}") & c(f"_g{n}") & (c(f"open{n}") > c(f"close{m}")) & (c(f"close{n}") < c(f"open{m}"))
+    harami_bear = lambda n, m: c(f"_g{m}") & c(f"_k{n}") & (c(f"open{n}") < c(f"close{m}")) & (c(f"close{n}") > c(f"open{m}"))
+    even = lambda x: F.abs(c(x) - c(f"{x}1")) / F.nullif(c(x), F.lit(0.0)) < 0.001
+    large = lambda share: (c("_b2") > share * c("_avg2")) & (b > share * avg)
+    star = large(0.6) & (c("_b1") < 0.3 * c("_avg1"))
+    three = large(0.5) & (c("_b1") > 0.5 * c("_avg1"))
     return {
-        "doji": some & small,
-        "hammer": tail & c("_down"),
-        "inverted_hammer": star & c("_down"),
-        "shooting_star": star & c("_up"),
-        "hanging_man": tail & c("_up"),
-        "marubozu_bull": some & c("_g") & (b >= 0.95 * r),
-        "marubozu_bear": some & c("_k") & (b >= 0.95 * r),
-        "spinning_top": some & (b > 0.1 * r) & (b <= 0.3 * r) & (u >= b) & (d >= b),
-        "long_bull": c("_g") & (b >= 0.7 * r) & (r >= 1.3 * avg),
-        "long_bear": c("_k") & (b >= 0.7 * r) & (r >= 1.3 * avg),
-        "bullish_engulfing": c("_k1") & c("_g") & (o <= c("close1")) & (close >= c("open1")) & (b > c("_b1")),
-        "bearish_engulfing": c("_g1") & c("_k") & (o >= c("close1")) & (close <= c("open1")) & (b > c("_b1")),
-        "bullish_harami": c("_k1") & c("_g") & inside,
-        "bearish_harami": c("_g1") & c("_k") & inside,
-        "piercing_line": c("_k1") & c("_g") & (o < c("low1")) & (close > mid1) & (close < c("open1")),
-        "dark_cloud_cover": c("_g1") & c("_k") & (o > c("high1")) & (close < mid1) & (close > c("open1")),
-        "tweezer_bottom": c("_k1") & c("_g") & even("low", "low1"),
-        "tweezer_top": c("_g1") & c("_k") & even("high", "high1"),
-        "morning_star": c("_k2") & (c("_b1") <= 0.3 * c("_b2")) & c("_g") & (close > mid2),
-        "evening_star": c("_g2") & (c("_b1") <= 0.3 * c("_b2")) & c("_k") & (close < mid2),
-        "three_white_soldiers": c("_g2") & c("_g1") & c("_g") & (c("close1") > c("close2")) & (close > c("close1")) & (c("open1") > c("open2")) & (o > c("open1")),
-        "three_black_crows": c("_k2") & c("_k1") & c("_k") & (c("close1") < c("close2")) & (close < c("close1")) & (c("open1") < c("open2")) & (o < c("open1")),
-        "three_inside_up": c("_k2") & c("_g1") & inside1 & c("_g") & (close > c("open2")),
-        "three_inside_down": c("_g2") & c("_k1") & inside1 & c("_k") & (close < c("open2")),
+        "doji": some & (b / r < 0.1),
+        "hammer": hammer,
+        "inverted_hammer": inverted,
+        "shooting_star": inverted & red,
+        "hanging_man": hammer & red,
+        "marubozu_bull": bare & green,
+        "marubozu_bear": bare & red,
+        "spinning_top": some & (b / r < 0.30) & (d / r > 0.25) & (u / r > 0.25),
+        "long_bull": green & (b > 1.5 * avg),
+        "long_bear": red & (b > 1.5 * avg),
+        "engulfing_bull": c("_k1") & green & (o <= c("close1")) & (close >= c("open1")),
+        "engulfing_bear": c("_g1") & red & (o >= c("close1")) & (close <= c("open1")),
+        "harami_bull": harami_bull("", 1),
+        "harami_bear": harami_bear("", 1),
+        "piercing_line": c("_k1") & green & (o < c("close1")) & (close > mid1) & (close < c("open1")),
+        "dark_cloud_cover": c("_g1") & red & (o > c("close1")) & (close < mid1) & (close > c("open1")),
+        "tweezer_bottom": even("low"),
+        "tweezer_top": even("high"),
+        "morning_star": c("_k2") & star & green & (close > mid2),
+        "evening_star": c("_g2") & star & red & (close < mid2),
+        "three_white_soldiers": c("_g2") & c("_g1") & green & three & (c("open1") > c("open2")) & (c("close1") > c("close2")) & (o > c("open1")) & (close > c("close1")),
+        "three_black_crows": c("_k2") & c("_k1") & red & three & (c("open1") < c("open2")) & (c("close1") < c("close2")) & (o < c("open1")) & (close < c("close1")),
+        "three_inside_up": harami_bull(1, 2) & green & (close > c("close1")),
+        "three_inside_down": harami_bear(1, 2) & red & (close < c("close1")),
     }
 
 

@@ -73,41 +73,48 @@ def parse_combo_key(key: Column, names: Iterable[str]) -> dict[str, Column]:
 
 
 #: Warnings and what each takes from the score (fixed values).
-WEIGHTS = {"gap_days": 0.10, "late_bar": 0.05, "volume_spike": 0.10, "adjustment": 0.20, "some_nulls": 0.10}
+WEIGHTS = {"nan_prices_low": 0.05, "date_gap": 0.10, "volume_outlier": 0.15, "adjustment_anomaly": 0.20, "future_date": 0.05}
+#: Findings that end the validation, in the order in which they are looked for (fixed values).
+FATAL = ("insufficient_bars", "nan_prices_high", "nonpositive_price", "duplicate_dates", "flat_prices")
 
 
-def validate_bars(bars: DataFrame, as_of: str, least: int = 60) -> DataFrame:
-    """Per symbol: fatal findings, warnings, flags and a score from 1 downwards.
+def validate_bars(bars: DataFrame, as_of: str, least: int = 15, most_gap: int = 5, outlier: float = 20.0, flat: int = 10, null_pct: float = 2.0) -> DataFrame:
+    """Per symbol: ``symbol, n, ok, score, fatal, flags``.
 
-    Fatal: too few bars, 2 % null closes or more, a price at or below zero, a
-    repeated date, the last ten closes alike. Warnings have weights.
+    ``fatal`` is the first of ``FATAL`` that holds: fewer bars than ``least``,
+    ``null_pct`` percent null adjusted closes or more, one at or below zero, a
+    repeated date, the last ``flat`` known ones alike. Without one, ``flags`` has the
+    warnings, and each takes its weight from a score of 1: fewer nulls, a gap of
+    more than ``most_gap`` days, a last bar after ``as_of``, a last known volume over
+    ``outlier`` times the mean of the 20 before, an adjusted close over three times
+    the raw one. A fatal symbol has score 0.
     """
-    rows = bars.withColumns({"_gap": F.datediff("ts", lag("ts")), "_mean": full(20, F.avg("volume"), frame(20, -1)), "_back": F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ts")))})
-    last10 = F.when(F.col("_back") <= 10, F.col("close"))
+    known = lambda c: Window.partitionBy("symbol", F.col(c).isNull()).orderBy(F.desc("ts"))
+    rows = bars.withColumns({"_gap": F.datediff("ts", lag("ts")), "_price": F.row_number().over(known("adjusted_close")), "_size": F.row_number().over(known("volume"))})
+    last_prices = F.when(F.col("adjusted_close").isNotNull() & (F.col("_price") <= flat), F.col("adjusted_close"))
+    size = lambda rule: F.when(F.col("volume").isNotNull() & rule, F.col("volume"))
     out = rows.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("n"),
-        F.avg(F.col("close").isNull().cast("int")).alias("nulls"),
-        F.min(F.least("open", "high", "low", "close")).alias("lowest"),
+        F.count_if(F.col("adjusted_close").isNull()).alias("nulls"),
+        F.min("adjusted_close").alias("lowest"),
         F.countDistinct("ts").alias("dates"),
-        F.countDistinct(last10).alias("last_closes"),
+        F.countDistinct(last_prices).alias("last_prices"),
         F.max("_gap").alias("gap"),
         F.max("ts").alias("last"),
-        F.max(F.col("volume") / F.col("_mean")).alias("spike"),
-        F.max(F.greatest(F.col("adjusted_close") / F.col("close"), F.col("close") / F.col("adjusted_close"))).alias("ratio"),
+        F.max(size(F.col("_size") == 1)).alias("size"),
+        F.avg(size(F.col("_size").between(2, 21))).alias("mean_size"),
+        F.count("volume").alias("sizes"),
+        F.max(F.when(F.col("close") > 0, F.col("adjusted_close") / F.col("close"))).alias("ratio"),
     )
-    fatal = {
-        "too_few_bars": F.col("n") < least, "null_prices": F.col("nulls") >= 0.02, "bad_price": F.col("lowest") <= 0,
-        "repeated_dates": F.col("dates") < F.col("n"), "stale": (F.col("n") >= 10) & (F.col("last_closes") == 1),
-    }
-    warn = {
-        "gap_days": F.col("gap") > 5, "late_bar": F.col("last") > F.lit(as_of).cast("date"), "volume_spike": F.col("spike") > 20,
-        "adjustment": F.col("ratio") > 3, "some_nulls": (F.col("nulls") > 0) & (F.col("nulls") < 0.02),
-    }
-    named = lambda rules: F.concat_ws("|", *[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items()])
-    lost = sum((F.when(F.coalesce(c, F.lit(False)), WEIGHTS[n]).otherwise(0.0) for n, c in warn.items()), F.lit(0.0))
-    out = out.select("symbol", "n", named(fatal).alias("fatal"), named(warn).alias("flags"), lost.alias("_lost"))
-    ok = F.col("fatal") == ""
-    return out.select("symbol", "n", ok.alias("ok"), F.when(ok, F.greatest(1 - F.col("_lost"), F.lit(0.0))).otherwise(0.0).alias("score"), "fatal", "flags")
+    share = 100.0 * F.col("nulls") / F.col("n")
+    fatal = F.when(F.col("n") < least, FATAL[0]).when(share >= null_pct, FATAL[1]).when(F.col("lowest") <= 0, FATAL[2]).when(F.col("dates") < F.col("n"), FATAL[3])
+    fatal = fatal.when((F.col("n") - F.col("nulls") >= flat) & (F.col("last_prices") == 1), FATAL[4]).otherwise("")
+    spike = (F.col("sizes") >= 21) & (F.col("mean_size") > 0) & (F.col("size") > outlier * F.col("mean_size"))
+    rules = {"nan_prices_low": F.col("nulls") > 0, "date_gap": F.col("gap") > most_gap, "volume_outlier": spike, "adjustment_anomaly": F.col("ratio") > 3, "future_date": F.col("last") > F.lit(as_of).cast("date")}
+    flags = F.concat_ws("|", *[F.when(F.coalesce(rules[n], F.lit(False)), F.lit(n)) for n in WEIGHTS])
+    lost = sum((F.when(F.coalesce(rules[n], F.lit(False)), w).otherwise(0.0) for n, w in WEIGHTS.items()), F.lit(0.0))
+    ok = fatal == ""
+    return out.select("symbol", "n", ok.alias("ok"), F.when(ok, F.greatest(1 - lost, F.lit(0.0))).otherwise(0.0).alias("score"), fatal.alias("fatal"), F.when(ok, flags).otherwise("").alias("flags"))
 
 
 def validation_summary(found: DataFrame) -> DataFrame:
@@ -118,11 +125,18 @@ def validation_summary(found: DataFrame) -> DataFrame:
     )
 
 
+#: Tier, bounds of the median close, and mean turnover that is exceeded (fixed values).
+TIERS = ((1, 50, None, 25_000_000), (2, 20, 50, 5_000_000), (3, 5, 20, 1_000_000))
+
+
 def quality_tier(bars: DataFrame) -> DataFrame:
     """Tier 1 to 4 per symbol from median close and mean turnover of its last 252 bars."""
     last = bars.withColumn("_back", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ts")))).where("_back <= 252")
     out = last.groupBy("symbol").agg(F.percentile("close", F.lit(0.5)).alias("median_close"), F.avg(F.col("close") * F.col("volume")).alias("turnover"))
-    tier = F.when((F.col("median_close") >= 10) & (F.col("turnover") >= 2e6), 1).when((F.col("median_close") >= 5) & (F.col("turnover") >= 1e5), 2).when(F.col("median_close") >= 1, 3).otherwise(4)
+    tier = F.lit(4)
+    for number, low, high, least in reversed(TIERS):
+        within = F.col("median_close") > low if high is None else F.col("median_close").between(low, high)
+        tier = F.when(within & (F.col("turnover") > least), number).otherwise(tier)
     return out.withColumn("tier", tier)
 
 

@@ -164,16 +164,6 @@ def _(spark, sf):
     return out.select("symbol", "ts", *[rounded(F.col(f"rs_{n}d")).alias(f"rs_{n}d") for n in (5, 20, 60)], "rank_20d", "leading", "lagging")
 
 
-@query(
-    "regime_interactions",
-    f"""WITH {BARS}, a AS (SELECT symbol, ts, close / {s_lag("close", 10)} - 1 AS roc_10, ln(close / {s_lag("close", 20)}) AS return_20d, CAST(close > {s_full(50, "avg(close)")} AS DOUBLE) AS above FROM bars)
-    SELECT symbol, ts, {s_round("roc_10 * coalesce(above, 0)")} AS roc_10_x_above, {s_round("return_20d * coalesce(above, 0)")} AS return_20d_x_above FROM a""",
-)
-def _(spark, sf):
-    bars = _bars(spark, sf).withColumns({"roc_10": ops.roc(10), "return_20d": ops.log_return(20), "above": (F.col("close") > ops.sma(50)).cast("double")})
-    return _out(ops.regime_interactions(bars, ["roc_10", "return_20d"], ["above"]), "roc_10_x_above", "return_20d_x_above")
-
-
 @query("latest_dates", f"WITH {BARS} SELECT symbol, max(ts) AS latest, count(*) AS n_bars, {s_round('arg_max(close, ts)')} AS last_close FROM bars GROUP BY symbol")
 def _(spark, sf):
     out = _bars(spark, sf).groupBy("symbol").agg(F.max("ts").alias("latest"), F.count(F.lit(1)).alias("n_bars"), F.max_by("close", "ts").alias("last_close"))

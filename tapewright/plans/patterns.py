@@ -9,39 +9,41 @@ from ..operators import patterns as ops
 from .features import _bars
 from .registry import BARS, query, s_full, s_lag, s_lead, s_round
 
-_LAGS = ", ".join(f"{s_lag(c, n)} AS {c}{n}" for n in (1, 2) for c in ("b", "g", "k", "open", "close", "high", "low"))
-_INSIDE = "greatest(open, close) < greatest(open1, close1) AND least(open, close) > least(open1, close1)"
-_INSIDE1 = "greatest(open1, close1) < greatest(open2, close2) AND least(open1, close1) > least(open2, close2)"
+_LAGS = ", ".join(f"{s_lag(c, n)} AS {c}{n}" for n in (1, 2) for c in ("b", "g", "k", "a", "open", "close", "high", "low"))
+_HAMMER = "r > 0 AND b / r < 0.35 AND d / r > 0.60 AND u / r < 0.10"
+_INVERTED = "r > 0 AND b / r < 0.35 AND u / r > 0.60 AND d / r < 0.10"
+_STAR = "b2 > 0.6 * a2 AND b1 < 0.3 * a1 AND b > 0.6 * a"
+_THREE = "b2 > 0.5 * a2 AND b1 > 0.5 * a1 AND b > 0.5 * a"
 _RULES = {
-    "doji": "r > 0 AND b <= 0.1 * r",
-    "hammer": "r > 0 AND d >= 2 * b AND u <= 0.3 * b AND b > 0 AND falling",
-    "inverted_hammer": "r > 0 AND u >= 2 * b AND d <= 0.3 * b AND b > 0 AND falling",
-    "shooting_star": "r > 0 AND u >= 2 * b AND d <= 0.3 * b AND b > 0 AND rising",
-    "hanging_man": "r > 0 AND d >= 2 * b AND u <= 0.3 * b AND b > 0 AND rising",
-    "marubozu_bull": "r > 0 AND g AND b >= 0.95 * r",
-    "marubozu_bear": "r > 0 AND k AND b >= 0.95 * r",
-    "spinning_top": "r > 0 AND b > 0.1 * r AND b <= 0.3 * r AND u >= b AND d >= b",
-    "long_bull": "g AND b >= 0.7 * r AND r >= 1.3 * a",
-    "long_bear": "k AND b >= 0.7 * r AND r >= 1.3 * a",
-    "bullish_engulfing": "k1 AND g AND open <= close1 AND close >= open1 AND b > b1",
-    "bearish_engulfing": "g1 AND k AND open >= close1 AND close <= open1 AND b > b1",
-    "bullish_harami": f"k1 AND g AND {_INSIDE}",
-    "bearish_harami": f"g1 AND k AND {_INSIDE}",
-    "piercing_line": "k1 AND g AND open < low1 AND close > (open1 + close1) / 2 AND close < open1",
-    "dark_cloud_cover": "g1 AND k AND open > high1 AND close < (open1 + close1) / 2 AND close > open1",
-    "tweezer_bottom": "k1 AND g AND abs(low - low1) <= 0.002 * low1",
-    "tweezer_top": "g1 AND k AND abs(high - high1) <= 0.002 * high1",
-    "morning_star": "k2 AND b1 <= 0.3 * b2 AND g AND close > (open2 + close2) / 2",
-    "evening_star": "g2 AND b1 <= 0.3 * b2 AND k AND close < (open2 + close2) / 2",
-    "three_white_soldiers": "g2 AND g1 AND g AND close1 > close2 AND close > close1 AND open1 > open2 AND open > open1",
-    "three_black_crows": "k2 AND k1 AND k AND close1 < close2 AND close < close1 AND open1 < open2 AND open < open1",
-    "three_inside_up": f"k2 AND g1 AND {_INSIDE1} AND g AND close > open2",
-    "three_inside_down": f"g2 AND k1 AND {_INSIDE1} AND k AND close < open2",
+    "doji": "r > 0 AND b / r < 0.1",
+    "hammer": _HAMMER,
+    "inverted_hammer": _INVERTED,
+    "shooting_star": f"{_INVERTED} AND k",
+    "hanging_man": f"{_HAMMER} AND k",
+    "marubozu_bull": "g AND r > 0 AND d / r < 0.02 AND u / r < 0.02",
+    "marubozu_bear": "k AND r > 0 AND d / r < 0.02 AND u / r < 0.02",
+    "spinning_top": "r > 0 AND b / r < 0.30 AND d / r > 0.25 AND u / r > 0.25",
+    "long_bull": "g AND b > 1.5 * a",
+    "long_bear": "k AND b > 1.5 * a",
+    "engulfing_bull": "k1 AND g AND open <= close1 AND close >= open1",
+    "engulfing_bear": "g1 AND k AND open >= close1 AND close <= open1",
+    "harami_bull": "k1 AND g AND open > close1 AND close < open1",
+    "harami_bear": "g1 AND k AND open < close1 AND close > open1",
+    "piercing_line": "k1 AND g AND open < close1 AND close > (open1 + close1) / 2 AND close < open1",
+    "dark_cloud_cover": "g1 AND k AND open > close1 AND close < (open1 + close1) / 2 AND close > open1",
+    "tweezer_bottom": "low <> 0 AND abs(low - low1) / low < 0.001",
+    "tweezer_top": "high <> 0 AND abs(high - high1) / high < 0.001",
+    "morning_star": f"k2 AND {_STAR} AND g AND close > (open2 + close2) / 2",
+    "evening_star": f"g2 AND {_STAR} AND k AND close < (open2 + close2) / 2",
+    "three_white_soldiers": f"g2 AND g1 AND g AND {_THREE} AND open1 > open2 AND close1 > close2 AND open > open1 AND close > close1",
+    "three_black_crows": f"k2 AND k1 AND k AND {_THREE} AND open1 < open2 AND close1 < close2 AND open < open1 AND close < close1",
+    "three_inside_up": "k2 AND g1 AND open1 > close2 AND close1 < open2 AND g AND close > close1",
+    "three_inside_down": "g2 AND k1 AND open1 < close2 AND close1 > open2 AND k AND close < close1",
 }
 PATTERNS = f"""{BARS},
-    x AS (SELECT *, abs(close - open) AS b, high - low AS r, high - greatest(open, close) AS u, least(open, close) - low AS d, close > open AS g, close < open AS k,
-          close < {s_lag("close", 3)} AS falling, close > {s_lag("close", 3)} AS rising FROM bars),
-    y AS (SELECT *, {s_full(14, "avg(r)")} AS a, {s_full(20, "avg(volume)", -1)} AS v20, {_LAGS} FROM x),
+    x AS (SELECT *, abs(close - open) AS b, high - low AS r, high - greatest(open, close) AS u, least(open, close) - low AS d, close > open AS g, close < open AS k FROM bars),
+    x2 AS (SELECT *, {s_full(14, "avg(r)")} AS a, {s_full(20, "avg(volume)", -1)} AS v20 FROM x),
+    y AS (SELECT *, {_LAGS} FROM x2),
     pat AS (SELECT symbol, ts, open, high, low, close, volume, v20, {", ".join(f"coalesce({rule}, false) AS {n}" for n, rule in _RULES.items())} FROM y),
     sig AS ({" UNION ALL ".join(f"SELECT symbol, ts, '{n}' AS pattern, '{ops.BIAS[n]}' AS bias, open, high, low, close, volume, v20 FROM pat WHERE {n}" for n in _RULES)})"""
 

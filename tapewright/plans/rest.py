@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.windows import frame, full, rounded
-from ..operators import features, intraday, similarity, texts, votes
+from ..functions.windows import rounded
+from ..operators import intraday, similarity, texts
 from ..sources import tables
 from .features import _bars, _out
-from .registry import BARS, HOURLY, TICKS, query, s_full, s_lag, s_round
+from .registry import BARS, HOURLY, TICKS, query, s_round
 
 _S = "PARTITION BY symbol, session ORDER BY ts"
 
@@ -29,11 +29,11 @@ def _(spark, sf):
 @query(
     "session_vwap",
     f"""WITH {HOURLY}, c AS (SELECT *, sum((high + low + close) / 3 * volume) OVER ({_S}) AS pv, sum(volume) OVER ({_S}) AS v FROM hourly), w AS (SELECT symbol, ts, close, CASE WHEN v > 0 THEN pv / v END AS vwap FROM c),
-    a AS (SELECT *, close > vwap AS above, lag(close > vwap) OVER (PARTITION BY symbol ORDER BY ts) AS before FROM w)
-    SELECT symbol, ts, {s_round("vwap")} AS vwap, {s_round("close / vwap - 1")} AS vwap_distance, coalesce(above AND NOT before, false) AS cross_up, coalesce(NOT above AND before, false) AS cross_down FROM a WHERE abs(close - vwap) > 1e-9""",
+    a AS (SELECT *, round(close - vwap, 9) > 0 AS above, lag(round(close - vwap, 9) > 0) OVER (PARTITION BY symbol ORDER BY ts) AS before FROM w)
+    SELECT symbol, ts, {s_round("vwap")} AS vwap, {s_round("close / vwap - 1")} AS vwap_distance, coalesce(above AND NOT before, false) AS cross_up, coalesce(NOT above AND before, false) AS cross_down FROM a""",
 )
 def _(spark, sf):
-    out = intraday.session_vwap(_hours(spark, sf)).where("abs(close - vwap) > 1e-9")
+    out = intraday.session_vwap(_hours(spark, sf))
     return out.select("symbol", "ts", rounded(F.col("vwap")).alias("vwap"), rounded(F.col("vwap_distance")).alias("vwap_distance"), "cross_up", "cross_down")
 
 
@@ -102,44 +102,6 @@ def _(spark, sf):
     return out.select("symbol", "ts", *[rounded(F.col(c)).alias(c) for c in ("ret", "mfe", "mae")], "target_hit", "stop_hit", "bars_to_hit")
 
 
-#: Components from features: probability and rank stand in for a model's output.
-_C = ("ml", "regime", "pattern")
-
-
-def _components(spark, sf):
-    bars = _bars(spark, sf)
-    rows = features.volatility(features.rsi_simple(bars)).withColumns({"a50": features.sma(50), "a200": features.sma(200), "r20": features.log_return(20), "v20": full(20, F.avg("volume"), frame(20, -1))})
-    rows = rows.where("a200 is not null and rsi_14 is not null and realized_vol_60 is not null and v20 is not null and r20 is not null")
-    ml, ml_s = votes.component_ml(F.col("rsi_14") / 100, F.least(F.col("volume") / F.col("v20") / 2, F.lit(1.0)))
-    regime, reg, reg_s = votes.component_regime(F.col("close") > F.col("a50"), F.col("close") > F.col("a200"), F.col("r20"), F.col("realized_vol_20"), F.col("realized_vol_60"))
-    pat = F.when(F.col("close") > F.col("open"), 1).when(F.col("close") < F.col("open"), -1).otherwise(0)
-    risk = votes.component_risk(F.lit(0.7), F.lit(2), F.col("atr_14") / F.col("close"))
-    return rows.withColumns({"ml_dir": ml, "ml_str": ml_s, "regime": regime, "regime_dir": reg, "regime_str": reg_s, "pattern_dir": pat, "pattern_str": F.lit(0.5), "risk": risk})
-
-
-_COMP = f"""{BARS}, q AS (SELECT *, close - {s_lag("close")} AS d, {s_lag("close")} AS p FROM bars),
-    q2 AS (SELECT *, ln(close / p) AS r1, CASE WHEN p IS NOT NULL THEN greatest(high - low, abs(high - p), abs(low - p)) END AS tr, {s_full(50, "avg(close)")} AS a50, {s_full(200, "avg(close)")} AS a200, ln(close / {s_lag("close", 20)}) AS r20, {s_full(20, "avg(volume)", -1)} AS v20,
-          avg(greatest(d, 0)) OVER (PARTITION BY symbol ORDER BY ts ROWS 13 PRECEDING) AS g, avg(greatest(-d, 0)) OVER (PARTITION BY symbol ORDER BY ts ROWS 13 PRECEDING) AS l FROM q),
-    q3 AS (SELECT *, CASE WHEN l = 0 THEN 100.0 ELSE 100 - 100 / (1 + g / l) END / 100 AS prob, least(volume / v20 / 2, 1.0) AS rk, avg(tr) OVER (PARTITION BY symbol ORDER BY ts ROWS 13 PRECEDING) / close AS atr,
-          stddev_samp(r1) OVER (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING) AS s20, stddev_samp(r1) OVER (PARTITION BY symbol ORDER BY ts ROWS 59 PRECEDING) AS s60 FROM q2),
-    q4 AS (SELECT symbol, ts, CASE WHEN prob >= 0.55 THEN 1 WHEN prob <= 0.45 THEN -1 ELSE 0 END AS ml, 0.6 * abs(prob - 0.5) * 2 + 0.4 * abs(rk - 0.5) * 2 AS mls,
-          CASE WHEN close > a50 AND close > a200 THEN 1 WHEN close <= a50 AND close <= a200 THEN -1 ELSE 0 END AS rg, least(abs(r20) * 10, 1.0) * CASE WHEN s20 > 1.25 * s60 THEN 0.5 ELSE 1 END AS rgs,
-          CASE WHEN close > open THEN 1 WHEN close < open THEN -1 ELSE 0 END AS pt, least(10 + CASE WHEN atr > 0.08 THEN 10 WHEN atr > 0.05 THEN 5 ELSE 0 END, 25) AS risk FROM q3 WHERE a200 IS NOT NULL),
-    q5 AS (SELECT *, CASE WHEN ml = 1 THEN 0.3 * mls ELSE 0 END + CASE WHEN rg = 1 THEN 0.15 * rgs ELSE 0 END + CASE WHEN pt = 1 THEN 0.2 * 0.5 ELSE 0 END AS bull, CASE WHEN ml = -1 THEN 0.3 * mls ELSE 0 END + CASE WHEN rg = -1 THEN 0.15 * rgs ELSE 0 END + CASE WHEN pt = -1 THEN 0.2 * 0.5 ELSE 0 END AS bear FROM q4),
-    q6 AS (SELECT *, CASE WHEN bull > 1.15 * bear THEN 1 WHEN bear > 1.15 * bull THEN -1 ELSE 0 END AS direction FROM q5),
-    q7 AS (SELECT *, CASE WHEN ml <> 0 AND ml = direction THEN 1 ELSE 0 END + CASE WHEN rg <> 0 AND rg = direction THEN 1 ELSE 0 END + CASE WHEN pt <> 0 AND pt = direction THEN 1 ELSE 0 END AS aligned,
-          CASE WHEN direction <> 0 AND ml = -direction THEN 1 ELSE 0 END + CASE WHEN direction <> 0 AND rg = -direction THEN 1 ELSE 0 END + CASE WHEN direction <> 0 AND pt = -direction THEN 1 ELSE 0 END AS conflicting FROM q6)"""
-
-
-@query(
-    "run_confluence",
-    f"""WITH {_COMP} SELECT symbol, ts, direction, aligned, conflicting, risk, {s_round("least(greatest(CASE WHEN direction <> 0 THEN (0.65 * greatest(bull, bear) / 0.65 + 0.35 * aligned / 3) * 100 ELSE 20 + greatest(0, 20 - 4 * conflicting) END - risk, 0), 100)", 4)} AS score FROM q7""",
-)
-def _(spark, sf):
-    out = votes.confluence_score(votes.alignment(_components(spark, sf), list(_C)), list(_C))
-    return out.select("symbol", "ts", "direction", "aligned", "conflicting", "risk", rounded(F.col("score"), 4).alias("score"))
-
-
 @query(
     "knn_join",
     f"""WITH p AS (SELECT a.vec_id AS query, b.vec_id AS neighbor, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))) AS distance

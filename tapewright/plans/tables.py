@@ -99,18 +99,52 @@ def _(spark, sf):
     return keys.groupBy(*[c.alias(n) for n, c in parsed.items()]).agg(F.count(F.lit(1)).alias("n"))
 
 
-_VALID = f"""v AS (SELECT *, date_diff('day', {s_lag("ts")}, ts) AS gap, volume / ({s_full(20, "avg(volume)", -1)}) AS spike, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS back FROM daily),
-    a AS (SELECT symbol, count(*) AS n, avg(CASE WHEN close IS NULL THEN 1 ELSE 0 END) AS nulls, min(least(open, high, low, close)) AS lowest, count(DISTINCT ts) AS dates, count(DISTINCT CASE WHEN back <= 10 THEN close END) AS tens,
-          max(gap) AS gap, max(ts) AS last, max(spike) AS spike, max(greatest(adjusted_close / close, close / adjusted_close)) AS ratio FROM v GROUP BY symbol),
-    f AS (SELECT symbol, n, concat_ws('|', CASE WHEN n < 2480 THEN 'too_few_bars' END, CASE WHEN nulls >= 0.02 THEN 'null_prices' END, CASE WHEN lowest <= 0 THEN 'bad_price' END, CASE WHEN dates < n THEN 'repeated_dates' END,
-          CASE WHEN n >= 10 AND tens = 1 THEN 'stale' END) AS fatal, concat_ws('|', CASE WHEN gap > 5 THEN 'gap_days' END, CASE WHEN last > DATE '2001-06-01' THEN 'late_bar' END, CASE WHEN spike > 20 THEN 'volume_spike' END,
-          CASE WHEN ratio > 3 THEN 'adjustment' END, CASE WHEN nulls > 0 AND nulls < 0.02 THEN 'some_nulls' END) AS flags,
-          CASE WHEN gap > 5 THEN 0.10 ELSE 0 END + CASE WHEN last > DATE '2001-06-01' THEN 0.05 ELSE 0 END + CASE WHEN spike > 20 THEN 0.10 ELSE 0 END + CASE WHEN ratio > 3 THEN 0.20 ELSE 0 END + CASE WHEN nulls > 0 AND nulls < 0.02 THEN 0.10 ELSE 0 END AS lost FROM a)"""
-
-
-@query("validate_bars", f"WITH {BARS}, {_VALID} SELECT symbol, n, fatal = '' AS ok, {s_round('CASE WHEN fatal = chr(0) THEN 0 WHEN length(fatal) = 0 THEN greatest(1 - lost, 0) ELSE 0 END')} AS score, fatal, flags FROM f".replace("WHEN fatal = chr(0) THEN 0 ", ""))
+#: Bars with a defect for every symbol: many nulls, few nulls, a wrong ratio, a stuck feed, none.
+_DEFECTS_SQL = """bad AS (SELECT * REPLACE (CASE
+        WHEN symbol = '1-URGENT' AND day(ts) = 13 THEN NULL
+        WHEN symbol = '2-HIGH' AND day(ts) = 13 AND month(ts) = 1 THEN NULL
+        WHEN symbol = '3-MEDIUM' THEN adjusted_close * 4
+        WHEN symbol = '5-LOW' AND ts >= DATE '1998-06-01' THEN 7.5
+        ELSE adjusted_close END AS adjusted_close) FROM daily)"""
+
+
+def _defects(spark, sf):
+    price = F.col("adjusted_close")
+    bad = F.when((F.col("symbol") == "1-URGENT") & (F.dayofmonth("ts") == 13), None)
+    bad = bad.when((F.col("symbol") == "2-HIGH") & (F.dayofmonth("ts") == 13) & (F.month("ts") == 1), None)
+    bad = bad.when(F.col("symbol") == "3-MEDIUM", price * 4).when((F.col("symbol") == "5-LOW") & (F.col("ts") >= F.lit("1998-06-01").cast("date")), 7.5)
+    return tables.daily_bars(spark, sf).withColumn("adjusted_close", bad.otherwise(price))
+
+
+_VALID = f"""{_DEFECTS_SQL},
+    v AS (
+        SELECT *, date_diff('day', {s_lag("ts")}, ts) AS gap,
+               row_number() OVER (PARTITION BY symbol, adjusted_close IS NULL ORDER BY ts DESC) AS kp, row_number() OVER (PARTITION BY symbol, volume IS NULL ORDER BY ts DESC) AS kv
+        FROM bad),
+    a AS (
+        SELECT symbol, count(*) AS n, count(*) FILTER (adjusted_close IS NULL) AS nulls, min(adjusted_close) AS lowest, count(DISTINCT ts) AS dates,
+               count(DISTINCT adjusted_close) FILTER (adjusted_close IS NOT NULL AND kp <= 10) AS tens, max(gap) AS gap, max(ts) AS last,
+               max(volume) FILTER (volume IS NOT NULL AND kv = 1) AS size, avg(volume) FILTER (volume IS NOT NULL AND kv BETWEEN 2 AND 21) AS mean_size, count(volume) AS sizes,
+               max(adjusted_close / close) FILTER (close > 0) AS ratio
+        FROM v GROUP BY symbol),
+    w AS (
+        SELECT *, nulls > 0 AS w1, coalesce(gap > 5, false) AS w2, coalesce(sizes >= 21 AND mean_size > 0 AND size > 20 * mean_size, false) AS w3, coalesce(ratio > 3, false) AS w4,
+               coalesce(last > DATE '1998-11-01', false) AS w5,
+               CASE WHEN n < 15 THEN 'insufficient_bars' WHEN 100.0 * nulls / n >= 2 THEN 'nan_prices_high' WHEN lowest <= 0 THEN 'nonpositive_price' WHEN dates < n THEN 'duplicate_dates'
+                    WHEN n - nulls >= 10 AND tens = 1 THEN 'flat_prices' ELSE '' END AS fatal
+        FROM a),
+    f AS (
+        SELECT symbol, n, fatal,
+               CASE WHEN fatal = '' THEN concat_ws('|', CASE WHEN w1 THEN 'nan_prices_low' END, CASE WHEN w2 THEN 'date_gap' END, CASE WHEN w3 THEN 'volume_outlier' END,
+                    CASE WHEN w4 THEN 'adjustment_anomaly' END, CASE WHEN w5 THEN 'future_date' END) ELSE '' END AS flags,
+               CASE WHEN fatal = '' THEN 1 - (CASE WHEN w1 THEN 0.05 ELSE 0 END + CASE WHEN w2 THEN 0.1 ELSE 0 END + CASE WHEN w3 THEN 0.15 ELSE 0 END + CASE WHEN w4 THEN 0.2 ELSE 0 END
+                    + CASE WHEN w5 THEN 0.05 ELSE 0 END) ELSE 0 END AS score
+        FROM w)"""
+
+
+@query("validate_bars", f"WITH {BARS}, {_VALID} SELECT symbol, n, fatal = '' AS ok, {s_round('score')} AS score, fatal, flags FROM f")
 def _(spark, sf):
-    return _out(ops.validate_bars(tables.daily_bars(spark, sf), "2001-06-01", 2480), "score", keys=("symbol", "n", "ok", "fatal", "flags"))
+    return _out(ops.validate_bars(_defects(spark, sf), "1998-11-01"), "score", keys=("symbol", "n", "ok", "fatal", "flags"))
 
 
 @query(
@@ -119,16 +153,26 @@ def _(spark, sf):
     {s_round("100.0 * count(*) FILTER (fatal <> '') / count(*)")} AS failure_pct FROM f""",
 )
 def _(spark, sf):
-    return _out(ops.validation_summary(ops.validate_bars(tables.daily_bars(spark, sf), "2001-06-01", 2480)), "failure_pct", keys=("n", "clean", "warned", "fatal"))
+    return _out(ops.validation_summary(ops.validate_bars(_defects(spark, sf), "1998-11-01")), "failure_pct", keys=("n", "clean", "warned", "fatal"))
+
+
+#: Bars brought to the prices and volumes of other markets, one for each tier.
+_SCALED_SQL = """scaled AS (SELECT * REPLACE (close / CASE symbol WHEN '2-HIGH' THEN 40 WHEN '3-MEDIUM' THEN 120 WHEN '4-NOT SPECIFIED' THEN 400 ELSE 1 END AS close, volume * 20000 AS volume) FROM bars)"""
+
+
+def _scaled(spark, sf):
+    part = F.when(F.col("symbol") == "2-HIGH", 40).when(F.col("symbol") == "3-MEDIUM", 120).when(F.col("symbol") == "4-NOT SPECIFIED", 400).otherwise(1)
+    return _bars(spark, sf).withColumns({"close": F.col("close") / part, "volume": F.col("volume") * 20000})
 
 
 @query(
     "quality_tier",
-    f"""WITH {BARS}, l AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS back FROM bars), a AS (SELECT symbol, quantile_cont(close, 0.5) AS m, avg(close * volume) AS t FROM l WHERE back <= 252 GROUP BY symbol)
-    SELECT symbol, {s_round("m", 4)} AS median_close, round(t, 2) + 0.0 AS turnover, CASE WHEN m >= 10 AND t >= 2000000 THEN 1 WHEN m >= 5 AND t >= 100000 THEN 2 WHEN m >= 1 THEN 3 ELSE 4 END AS tier FROM a""",
+    f"""WITH {BARS}, {_SCALED_SQL}, l AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS back FROM scaled), a AS (SELECT symbol, quantile_cont(close, 0.5) AS m, avg(close * volume) AS t FROM l WHERE back <= 252 GROUP BY symbol)
+    SELECT symbol, {s_round("m", 4)} AS median_close, round(t, 2) + 0.0 AS turnover,
+           CASE WHEN m > 50 AND t > 25000000 THEN 1 WHEN m BETWEEN 20 AND 50 AND t > 5000000 THEN 2 WHEN m BETWEEN 5 AND 20 AND t > 1000000 THEN 3 ELSE 4 END AS tier FROM a""",
 )
 def _(spark, sf):
-    out = ops.quality_tier(_bars(spark, sf))
+    out = ops.quality_tier(_scaled(spark, sf))
     return out.select("symbol", rounded(F.col("median_close"), 4).alias("median_close"), rounded(F.col("turnover"), 2).alias("turnover"), "tier")
 
 
