@@ -3,8 +3,10 @@
 The vocabulary drops white space and none of its patterns spans it, so the ids
 of a text are the ids of its words (runs between ASCII white space) in order.
 Words repeat: each worker encodes a word with the tokenizers library when it
-first meets it and then reuses the ids. :meth:`WordEncoder.encode` turns an
-Arrow batch of texts into one flat array of ids and the documents' offsets.
+first meets it and then reuses the ids. Known words and their ids are Arrow arrays,
+so that words are looked up and ids gathered for a whole batch at a time.
+:meth:`WordEncoder.encode` turns an Arrow batch of texts into one flat array of
+ids and the documents' offsets.
 """
 
 from __future__ import annotations
@@ -19,17 +21,20 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words that a worker keeps in each of its two generations of reused ids.
-WORDS_KEPT = 200_000
+#: Known words beyond which a worker goes on with those of the last slice alone.
+WORDS_KEPT = 1_000_000
+#: Words that a worker keeps in each of the two generations of :meth:`WordEncoder.word`.
+SINGLES_KEPT = 50_000
 #: Longer words are encoded each time they occur.
 LONGEST_KEPT = 64
 #: Bytes of text that are encoded at a time.
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 8_000_000
 
 #: Letters whose lower-casing and composition are the same in Python and in the library.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+\Z")
 #: The vocabulary's own splitting pattern over those letters (fixed value of the file).
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^\sa-z0-9à-öø-ÿß]+")
+_LETTERS = "^[a-zß-öø-ÿ]+$"
 _SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
@@ -72,6 +77,8 @@ class WordEncoder:
         self.letters = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(33, 256)}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.known = pa.array([], pa.large_string())
+        self.coded = pa.array([], pa.large_list(pa.uint16()))
 
     def _fresh(self, word: str) -> bytes:
         """Ids of a word that is met for the first time."""
@@ -88,11 +95,23 @@ class WordEncoder:
             if ids is None:
                 ids = self._fresh(word)
             if len(word) <= LONGEST_KEPT:
-                if len(self.young) >= WORDS_KEPT:
+                if len(self.young) >= SINGLES_KEPT:
                     self.old, self.young = self.young, {}
                 self.young[word] = ids
         return ids
 
+    def _ids_of(self, words: pa.Array) -> pa.Array:
+        """Ids of words that are met for the first time, a list each."""
+        tokenize, letters, flat, ends = self.model.tokenize, self.letters, [], [0]
+        # Lower-case letters alone are one piece of the splitting pattern.
+        for word, simple in zip(words.to_pylist(), pc.match_substring_regex(words, _LETTERS).to_pylist(), strict=True):
+            if simple:
+                flat += [t.id for t in tokenize(word if word.isascii() else word.translate(letters))]
+            else:
+                flat += np.frombuffer(self._fresh(word), "<u2").tolist()
+            ends.append(len(flat))
+        return pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(flat, pa.uint16()))
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (null: empty) as uint16, and the offsets of the texts in them."""
         # take() makes a compact copy: some string kernels misread the offset of a sliced array.
@@ -103,18 +122,22 @@ class WordEncoder:
             texts = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z])([.,])", r"\1 \2")
         words = pc.ascii_split_whitespace(texts)
         bounds = np.asarray(words.offsets)
-        known = words.values[bounds[0] : bounds[-1]].dictionary_encode()
-        bounds = bounds - bounds[0]
-        coded = [self.word(w) for w in known.dictionary.to_pylist()]
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 2
-        flat = np.frombuffer(b"".join(coded), "<u2")
-        starts = np.cumsum(sizes) - sizes
-        which = np.asarray(known.indices)
-        each = sizes[which]
-        ends = np.zeros(len(which) + 1, np.int64)
-        np.cumsum(each, out=ends[1:])
-        at = np.arange(ends[-1]) + np.repeat(starts[which] - ends[:-1], each)
-        return flat[at], ends[bounds]
+        words, bounds = words.values.slice(bounds[0], bounds[-1] - bounds[0]), bounds - bounds[0]
+        which = pc.index_in(words, value_set=self.known)
+        known, coded = self.known, self.coded
+        if which.null_count:
+            new = words.filter(pc.is_null(which))
+            fresh = new.unique()
+            which = pc.replace_with_mask(which, pc.is_null(which), pc.add(pc.index_in(new, value_set=fresh), pa.scalar(len(known), pa.int32())))
+            known, coded = pa.concat_arrays([known, fresh]), pa.concat_arrays([coded, self._ids_of(fresh)])
+            kept = which.unique() if len(known) > WORDS_KEPT else pa.array(np.arange(len(known)))
+            small = pc.less_equal(pc.utf8_length(known.take(kept)), LONGEST_KEPT)
+            whole = len(kept) == len(known) and pc.all(small).as_py()
+            self.known, self.coded = (known, coded) if whole else (known.take(kept.filter(small)), coded.take(kept.filter(small)))
+        found = coded.take(which)
+        ends = np.asarray(found.offsets)
+        ids = np.asarray(found.values)[ends[0] : ends[-1]] if len(found) else np.empty(0, np.uint16)
+        return ids, (ends - ends[0])[bounds]
 
 
 @lru_cache(maxsize=2)
