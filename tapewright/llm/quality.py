@@ -3,10 +3,17 @@
 Every document gets counts from built-in functions. Documents that pass the
 base rules become vectors of four transformed statistics, stored as integers
 (1/1024 of a binary logarithm), so that all sums are exact and the result does
-not depend on how rows are dealt out. For each language and source a minimum
-covariance determinant estimate is made by concentration steps: fit mean and
-covariance on the closest ``H`` of the rows, measure every row's Mahalanobis
-distance, keep the closest ``H`` again. A reweighted fit then judges all rows.
+not depend on how rows are dealt out.
+
+A minimum covariance determinant estimate is made for all rows, for each
+language, and for each language and source, at once. Three deterministic starts
+(median and quartiles alone, or with the correlations of the rows' spatial signs
+or of their hyperbolic tangents) are each concentrated: fit mean and covariance on
+the closest ``H`` of the rows, measure every row's Mahalanobis distance, keep the
+closest ``H`` again, until the determinant stops falling. The start that ends
+with the least determinant wins and is reweighted. Last, a language's fit is drawn
+to that of all rows, and a source's to its language's, as if ``PRIOR_ROWS`` rows
+stood behind the wider fit: a small group leans on it, a large one does not.
 """
 
 from __future__ import annotations
@@ -28,21 +35,29 @@ WINDOW = 8
 
 #: Share of a group's rows that the concentration steps keep.
 H = 0.75
-#: Concentration steps after the start from medians and quartiles.
-STEPS = 2
-#: Smaller groups are fitted together, by language.
-MIN_GROUP = 64
+#: Deterministic starts of the concentration.
+STARTS = ("median", "sign", "tanh")
+#: A start's steps end once the logarithm of the determinant falls by no more than this, or after so many.
+TOLERANCE, MOST_STEPS = 1e-3, 30
+#: What is added to the diagonal of a start's correlations, so that they can be inverted.
+RIDGE = 1e-3
+#: Share of normal rows that the reweighted fit takes in.
+NEAR = 0.975
+#: Rows that a wider group's fit counts for in a narrower one's.
+PRIOR_ROWS = 100
 #: Squared distance beyond which a document is an outlier: 1 - 1e-9 of chi-squared with 4 degrees of freedom.
 CUTOFF = 48.0
 #: Smallest standard deviation of each statistic, in binary logarithms: word length, symbols, repeated lines, repeated words.
-#: Where most of a group has none of a thing, its spread is 0, and one in 300 words stands in; for word length, the error of
-#: a mean over 80 words. So each statistic can reject by itself: the square root of ``CUTOFF`` times a floor is in its range.
-FLOORS = (0.08, 0.42, 0.42, 0.42)
+#: Most rows of clean groups have none of the last three, so their spread is 0, and this stands in: one symbol or one
+#: repeated line in 100 words is 2.4 floors from none, a phrase of eight words said twice in 200 words 4.5. An outlier
+#: is 6.9 floors away, which is in the range of each statistic, so that each can reject by itself.
+FLOORS = (0.08, 0.42, 0.42, 0.7)
 
 UNIT = 1024
 DIMS = (1, 2, 3, 4)
 PAIRS = tuple(combinations_with_replacement(DIMS, 2))
-KEYS = ["g_lang", "g_pooled", "g_source"]
+#: A group is all rows (level 0), a language (1) or a language and source (2).
+KEYS = ["g_level", "g_lang", "g_source"]
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -117,14 +132,12 @@ def _vector() -> dict[str, Column]:
     return {"x1": fixed(F.col("word_chars") / F.col("n_words")), "x2": per_100("n_symbols"), "x3": per_100("n_dup_lines"), "x4": per_100("n_repeat_words")}
 
 
-def _grouped(stats: DataFrame) -> DataFrame:
-    """Vectors of the rows that passed the base rules, under their group's keys."""
-    rows = stats.where(~F.col("base_failed")).withColumns({"g_lang": F.coalesce("lang", F.lit("")), "g_source": F.coalesce("source", F.lit(""))})
-    sizes = rows.groupBy("g_lang", "g_source").agg(F.count(F.lit(1)).alias("rows_in_group"))
-    sizes = materialize(sizes, "quality-sizes")
-    rows = rows.join(sizes, ["g_lang", "g_source"]).withColumn("g_pooled", F.col("rows_in_group") < MIN_GROUP)
-    rows = rows.withColumn("g_source", F.when(F.col("g_pooled"), F.lit("")).otherwise(F.col("g_source")))
-    return rows.withColumns(_vector()).select("row", *KEYS, "x1", "x2", "x3", "x4")
+def _grouped(vectors: DataFrame) -> DataFrame:
+    """Every vector once for each of its three groups."""
+    group = lambda level, lang, source: F.struct(F.lit(level).alias("g_level"), lang.alias("g_lang"), source.alias("g_source"))
+    none, lang = F.lit(""), F.col("lang")
+    groups = F.explode(F.array(group(0, none, none), group(1, lang, none), group(2, lang, F.col("source"))))
+    return vectors.select(*_X, groups.alias("g")).select(*_X, "g.*")
 
 
 def _at_share(counts: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
@@ -138,63 +151,139 @@ def _at_share(counts: DataFrame, keys: list[str], value: str, shares: dict[str,
     return run.groupBy(*keys).agg(*[F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * share), F.col(value))).alias(name) for name, share in shares.items()])
 
 
-def _start(vectors: DataFrame) -> DataFrame:
-    """Median and half the interquartile range of each statistic, as a diagonal fit."""
-    long = vectors.select(*KEYS, F.posexplode(F.array(*[F.col(f"x{i}") for i in DIMS])).alias("dim", "v"))
+def _rounded(c: Column) -> Column:
+    return F.floor(c * UNIT + 0.5)
+
+
+def _factored(fits: DataFrame) -> DataFrame:
+    """Add the Cholesky factor ``l11 .. l44`` and ``logdet`` to fits with means ``m`` and covariances ``c``."""
+    for j in DIMS:
+        inner = lambda i: sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(1, j)), F.lit(0.0))  # noqa: E731, B023
+        fits = fits.withColumn(f"l{j}{j}", F.sqrt(F.greatest(F.col(f"c{j}{j}") - inner(j), F.lit(1e-6))))
+        if j < len(DIMS):
+            fits = fits.withColumns({f"l{i}{j}": (F.col(f"c{j}{i}") - inner(i)) / F.col(f"l{j}{j}") for i in DIMS if i > j})
+    return fits.withColumn("logdet", 2 * sum((F.log(F.col(f"l{j}{j}")) for j in DIMS), F.lit(0.0)))
+
+
+_M = [f"m{i}" for i in DIMS]
+_C = [f"c{i}{j}" for i, j in PAIRS]
+_L = [f"l{j}{i}" for i, j in PAIRS]
+_X = [f"x{i}" for i in DIMS]
+
+
+def _starts(groups: DataFrame) -> DataFrame:
+    """For each group and start: the medians, and a covariance of quartile ranges and the start's correlations."""
+    long = groups.select(*KEYS, F.posexplode(F.array(*_X)).alias("dim", "v"))
     counts = long.groupBy(*KEYS, "dim", "v").agg(F.count(F.lit(1)).alias("n"))
     cuts = _at_share(counts, [*KEYS, "dim"], "v", {"low": 0.25, "mid": 0.5, "high": 0.75})
     pick = lambda i, c: F.max(F.when(F.col("dim") == i - 1, c))
-    spread = lambda i: F.sqrt(F.pow((F.col("high") - F.col("low")) / 1.349, 2) + (FLOORS[i - 1] * UNIT) ** 2)
-    columns = [pick(i, F.col("mid").cast("double")).alias(f"m{i}") for i in DIMS]
-    columns += [(pick(i, spread(i)) if i == j else F.lit(0.0)).alias(f"l{j}{i}") for i, j in PAIRS]
-    return cuts.groupBy(*KEYS).agg(*columns)
-
-
-def _fit(rows: DataFrame, share: float) -> DataFrame:
-    """Mean and Cholesky factor of each group's covariance, from exact integer sums."""
-    whole = lambda c: F.sum(c.cast("decimal(19,0)")).cast("double")
-    sums = [F.count(F.lit(1)).alias("n"), *[whole(F.col(f"x{i}")).alias(f"s{i}") for i in DIMS]]
-    sums += [whole(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i, j in PAIRS]
-    fit = rows.groupBy(*KEYS).agg(*sums)
-    fit = fit.withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") for i in DIMS})
+    spread = lambda i: F.greatest((F.col("high") - F.col("low")) / 1.349, F.lit(FLOORS[i - 1] * UNIT))
+    centers = cuts.groupBy(*KEYS).agg(*[pick(i, F.col("mid").cast("double")).alias(f"m{i}") for i in DIMS], *[pick(i, spread(i)).alias(f"d{i}") for i in DIMS])
+    centers = materialize(centers, "quality-centers")
+
+    rows = groups.join(centers, KEYS).withColumns({f"z{i}": (F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"d{i}") for i in DIMS})
+    norm = F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in DIMS), F.lit(0.0)))
+    rows = rows.withColumn("norm", F.when(norm > 0, norm).otherwise(1.0))
+    seen = {"sign": lambda i: F.col(f"z{i}") / F.col("norm"), "tanh": lambda i: F.tanh(f"z{i}")}
+    rows = rows.select(*KEYS, *[_rounded(view(i)).alias(f"{name}{i}") for name, view in seen.items() for i in DIMS])
+    sums = rows.groupBy(*KEYS).agg(*[F.sum(F.col(f"{name}{i}") * F.col(f"{name}{j}")).alias(f"{name}{i}{j}") for name in seen for i, j in PAIRS])
+    found = sums.join(centers, KEYS)
+
+    def covariance(name: str, i: int, j: int) -> Column:
+        both = F.col(f"d{i}") * F.col(f"d{j}")
+        if name == "median":
+            return both if i == j else F.lit(0.0)
+        deviation = lambda i: F.sqrt(F.greatest(F.col(f"{name}{i}{i}"), F.lit(1.0)))
+        return both * (1.0 + RIDGE) if i == j else F.col(f"{name}{i}{j}") / (deviation(i) * deviation(j)) * both
+
+    one = lambda name: F.struct(F.lit(name).alias("start"), *[covariance(name, i, j).alias(f"c{i}{j}") for i, j in PAIRS])
+    found = found.select(*KEYS, *_M, F.explode(F.array(*[one(name) for name in STARTS])).alias("s")).select(*KEYS, *_M, "s.*")
+    return _factored(found).withColumn("logdet", F.lit(float("inf")))
+
+
+def _sums() -> list[Column]:
+    """Exact sums in 64 bits: products stay under 2**27, so that 2**36 rows fit."""
+    products = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i, j in PAIRS]
+    return [F.count(F.lit(1)).alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in DIMS], *products]
+
+
+def _fit(sums: DataFrame, keys: list[str], share: float) -> DataFrame:
+    """Means and floored covariances from summed rows."""
+    fit = sums.withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") for i in DIMS})
     cov = lambda i, j: (F.col(f"s{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) * consistency(share)
-    fit = fit.withColumns({f"c{i}{j}": cov(i, j) + ((FLOORS[i - 1] * UNIT) ** 2 if i == j else 0.0) for i, j in PAIRS})
-    for j in DIMS:
-        inner = lambda i: sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(1, j)), F.lit(0.0))  # noqa: E731, B023
-        fit = fit.withColumn(f"l{j}{j}", F.sqrt(F.greatest(F.col(f"c{j}{j}") - inner(j), F.lit(1.0))))
-        if j < len(DIMS):
-            fit = fit.withColumns({f"l{i}{j}": (F.col(f"c{j}{i}") - inner(i)) / F.col(f"l{j}{j}") for i in DIMS if i > j})
-    return fit.select(*KEYS, *[f"m{i}" for i in DIMS], *[f"l{j}{i}" for i, j in PAIRS])
+    floored = lambda i, j: F.greatest(cov(i, j), F.lit((FLOORS[i - 1] * UNIT) ** 2)) if i == j else cov(i, j)
+    return fit.select(*keys, "n", *_M, *[floored(i, j).alias(f"c{i}{j}") for i, j in PAIRS])
 
 
-def _measured(vectors: DataFrame, fit: DataFrame) -> DataFrame:
-    """Squared Mahalanobis distance of every row from its group's fit."""
-    rows = vectors.join(fit, KEYS)
+def _distance(rows: DataFrame) -> DataFrame:
+    """Add ``d2``, the squared Mahalanobis distance, to vectors that stand beside their fit."""
     for i in DIMS:
         rest = sum((F.col(f"l{i}{k}") * F.col(f"z{k}") for k in range(1, i)), F.lit(0.0))
         rows = rows.withColumn(f"z{i}", (F.col(f"x{i}") - F.col(f"m{i}") - rest) / F.col(f"l{i}{i}"))
-    d2 = sum((F.col(f"z{i}") * F.col(f"z{i}") for i in DIMS), F.lit(0.0))
-    return rows.select("row", *KEYS, *[f"x{i}" for i in DIMS], d2.alias("d2"))
+    return rows.withColumn("d2", sum((F.col(f"z{i}") * F.col(f"z{i}") for i in DIMS), F.lit(0.0)))
+
 
+def _step(groups: DataFrame, fits: DataFrame) -> DataFrame:
+    """One concentration step for every fit, in one pass: sums by whole bins of distance, then the closest bins' fit.
 
-def _closest(measured: DataFrame) -> DataFrame:
-    """The closest rows of each group: whole bins of distance that hold a share of ``H``."""
-    binned = measured.withColumn("bin", F.floor(F.log2(1 + F.col("d2")) * 64))
-    counts = binned.groupBy(*KEYS, "bin").agg(F.count(F.lit(1)).alias("n"))
-    cut = materialize(_at_share(counts, KEYS, "bin", {"cut": H}), "quality-cut")
-    return binned.join(cut, KEYS).where("bin <= cut")
+    A fit whose determinant does not fall stays; ``fell`` says whether it did.
+    """
+    keys = [*KEYS, "start"]
+    binned = _distance(groups.join(fits.select(*keys, *_M, *_L), KEYS)).withColumn("bin", F.floor(F.log2(1 + F.col("d2")) * 64))
+    counts = binned.groupBy(*keys, "bin").agg(*_sums())
+    over = Window.partitionBy(*keys)
+    counts = counts.withColumns({"before": F.sum("n").over(over.orderBy("bin")) - F.col("n"), "total": F.sum("n").over(over)})
+    closest = counts.where(F.col("before") < F.ceil(F.col("total") * H))
+    whole = [F.sum(c).alias(c) for c in ("n", *[f"s{i}" for i in DIMS], *[f"s{i}{j}" for i, j in PAIRS])]
+    new = _factored(_fit(closest.groupBy(*keys).agg(*whole), keys, H))
+    values = [*_M, *_C, *_L, "logdet"]
+    both = new.select(*keys, F.struct(*values).alias("new")).join(fits.select(*keys, F.struct(*values).alias("old")), keys)
+    both = both.withColumn("fell", F.col("new.logdet") < F.col("old.logdet") - TOLERANCE)
+    return both.select(*keys, "fell", F.when(F.col("fell"), F.col("new")).otherwise(F.col("old")).alias("fit")).select(*keys, "fell", "fit.*")
+
+
+def _concentrated(groups: DataFrame) -> DataFrame:
+    """Each group's fit of the least determinant."""
+    moving = materialize(_starts(groups), "quality-fits")
+    settled = None
+    for _ in range(MOST_STEPS):
+        after = materialize(_step(groups, moving), "quality-fits")
+        still = after.where(~F.col("fell"))
+        settled = still if settled is None else settled.unionByName(still)
+        moving = after.where("fell")
+        if moving.isEmpty():
+            break
+    ended = settled.unionByName(moving)
+    best = ended.groupBy(*KEYS).agg(F.min(F.struct("logdet", "start", *_M, *_L)).alias("b"))
+    return best.select(*KEYS, *[f"b.{c}" for c in (*_M, *_L)])
+
+
+def _shrunk(fits: DataFrame) -> DataFrame:
+    """Each language's fit drawn to that of all rows, then each source's to its language's."""
+
+    def drawn(level: int, own: DataFrame, parents: DataFrame, on: list[str]) -> DataFrame:
+        parents = parents.select(*on, *[F.col(c).alias(f"p_{c}") for c in (*_M, *_C)])
+        both = own.where(F.col("g_level") == level)
+        both = both.join(parents, on) if on else both.join(parents.withColumn("g_level", F.lit(level)), "g_level")
+        weight = F.col("n") / (F.col("n") + PRIOR_ROWS)
+        mixed = lambda c: F.coalesce(F.col(c), F.col(f"p_{c}")) * weight + F.col(f"p_{c}") * (1 - weight)
+        return materialize(both.select(*KEYS, *[mixed(c).alias(c) for c in (*_M, *_C)]), "quality-shrunk")
+
+    languages = drawn(1, fits, fits.where("g_level = 0"), [])
+    return _factored(drawn(2, fits, languages, ["g_lang"]))
 
 
 def outlier_distances(stats: DataFrame) -> DataFrame:
     """``row, d2`` for every row of ``stats`` that passed the base rules."""
-    vectors = materialize(_grouped(stats), "quality-vectors")
-    fit = materialize(_start(vectors), "quality-fit")
-    for _ in range(STEPS + 1):
-        fit = materialize(_fit(_closest(_measured(vectors, fit)), H), "quality-fit")
-    near = 0.975
-    inside = _measured(vectors, fit).where(F.col("d2") <= chi2_quantile(near, len(DIMS)))
-    fit = materialize(_fit(inside, near), "quality-fit")
-    return _measured(vectors, fit).select("row", "d2")
+    rows = stats.where(~F.col("base_failed")).withColumns(_vector())
+    rows = rows.select("row", *_X, F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"))
+    rows = materialize(rows, "quality-vectors")
+    groups = _grouped(rows)
+    best = materialize(_concentrated(groups), "quality-best")
+    near = _distance(groups.join(best, KEYS)).where(F.col("d2") <= chi2_quantile(NEAR, len(DIMS)))
+    own = best.select(*KEYS).join(_fit(near.groupBy(*KEYS).agg(*_sums()), KEYS, NEAR), KEYS, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    fits = _shrunk(materialize(own, "quality-own")).select(F.col("g_lang").alias("lang"), F.col("g_source").alias("source"), *_M, *_L)
+    return _distance(rows.join(fits, ["lang", "source"])).select("row", "d2")
 
 
 def _stats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -209,9 +298,9 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     ``docs`` needs the columns ``lang`` and ``source``; others are not looked at.
     Null text has no words and fails the base rules. Null language or source
-    counts as the empty one. Rows that repeat an id are judged one by one.
-    Groups of fewer than 64 rows that passed the base rules are fitted together
-    by language. ``d2`` is null where the base rules failed.
+    counts as the empty one. Rows that repeat an id are judged one by one, equal
+    rows alike. Texts are counted whole, however long. ``d2`` is null where the base
+    rules failed. An empty table gives an empty result.
     """
     return _verdicts(docs, id_col, text_col, cutoff).drop("mark")
 
