@@ -89,6 +89,10 @@ def _value(frame, spec: Indicator) -> np.ndarray:
         return rsi_wilder(x, spec.n)
     if spec.kind == "macd":
         return macd_histogram(x)
+    if spec.kind == "macd_signal":
+        return ema(ema(x, 12, "first") - ema(x, 26, "first"), 9, "first")
+    if spec.kind == "ewm":
+        return ema(x, spec.n, "first")
     if spec.kind == "stochastic":
         return smoothed_stochastic(frame["high"].to_numpy(float), frame["low"].to_numpy(float), x, spec.n)
     raise ValueError(f"no indicator is named {spec.kind}")
@@ -109,3 +113,16 @@ def recursive(bars: DataFrame, specs: Iterable[Indicator]) -> DataFrame:
     kind = bars.schema["ts"].dataType.simpleString()
     needed = ["symbol", "ts", *sorted({s.column for s in specs} | {"high", "low", "close"})]
     return bars.select(*needed).groupBy("symbol").applyInPandas(one, f"symbol string, ts {kind}, " + ", ".join(f"{s.name} double" for s in specs))
+
+
+def with_indicators(bars: DataFrame, specs: Iterable[Indicator]) -> DataFrame:
+    """All columns of the bars and one for each indicator: one pass over each symbol, nothing is joined back."""
+    specs = list(specs)
+
+    def one(frame):
+        frame = frame.sort_values("ts", ignore_index=True)
+        found = frame.assign(**{s.name: _value(frame, s) for s in specs})
+        return found.astype(object).where(found.notna(), None)
+
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema.fields] + [f"{s.name} double" for s in specs]
+    return bars.groupBy("symbol").applyInPandas(one, ", ".join(kinds))

@@ -167,3 +167,16 @@ def outperformance(bars: DataFrame, a: str, b: str, percent: float, n: int) -> D
     both = side(a, "_a").join(side(b, "_b"), "ts").withColumn("symbol", F.lit(a))
     lead = (F.col("_a") / lag("_a", n) - F.col("_b") / lag("_b", n)) * 100
     return both.withColumn("lead", lead).where(F.col("lead") >= percent).select("ts", "lead")
+
+
+def sector_leading(bars: DataFrame, strength: DataFrame, sector: str, rank: int, n: int) -> DataFrame:
+    """Bars with ``signal``: the sector's rank was at most ``rank`` on each of the last ``n`` bars; a missing rank is 99."""
+    ranks = strength.where(F.col("symbol") == sector).select("ts", F.col("rank_20d").alias("_k"))
+    ok = (F.coalesce("_k", F.lit(99)) <= rank).cast("int")
+    return bars.join(ranks, "ts", "left").withColumn("_ok", ok).withColumn("signal", F.sum("_ok").over(frame(n)) == n).drop("_k", "_ok")
+
+
+def pair_strength(strength: DataFrame, a: str, b: str) -> DataFrame:
+    """``ts, signal``: whether one sector's 20-bar strength is above another's; false where one is unknown."""
+    one, other = (strength.where(F.col("symbol") == x).select("ts", F.col("rs_20d").alias(n)) for x, n in ((a, "_a"), (b, "_b")))
+    return one.join(other, "ts").select("ts", F.coalesce(F.col("_a") > F.col("_b"), F.lit(False)).alias("signal"))

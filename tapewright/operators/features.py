@@ -125,9 +125,10 @@ def regime_interactions(df: DataFrame, features: list[str], masks: list[str]) ->
     return df.withColumns({f"{f}_x_{m}": F.col(f) * F.coalesce(F.col(m).cast("double"), F.lit(0.0)) for f in features for m in masks})
 
 
-def build_features(bars: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """All features above in one plan with one shuffle by symbol."""
+def build_features(bars: DataFrame, benchmark: DataFrame, least: int = 15) -> DataFrame:
+    """All features above in one plan with one shuffle by symbol; null before a symbol has ``least`` bars."""
     steps = (returns, trend, rsi_simple, volatility, volume)
-    out = reduce(lambda df, f: f(df), steps, bars)
-    counted = F.count(F.lit(1)).over(by_symbol())
-    return relative_strength(out, benchmark).withColumn("bars_so_far", counted)
+    out = relative_strength(reduce(lambda df, f: f(df), steps, bars), benchmark)
+    names = [c for c in out.columns if c not in bars.columns]
+    out = out.withColumn("bars_so_far", F.count(F.lit(1)).over(by_symbol()))
+    return out.withColumns({c: F.when(F.col("bars_so_far") >= least, F.col(c)) for c in names})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.recurrences import Indicator, recursive
+from ..functions.recurrences import Indicator, with_indicators
 from ..functions.windows import by_symbol, frame, lag
 
 
@@ -17,7 +17,7 @@ def _cross(above: Column, up: bool) -> Column:
 def low_ema_features(bars: DataFrame, n: int = 82) -> DataFrame:
     """Mean of the lows: value, side, distance, slopes over 5 and 10 bars, change of distance, bounce."""
     name = f"low_ema_{n}"
-    rows = bars.join(recursive(bars, [Indicator(name, "ema", n, "low")]), ["symbol", "ts"])
+    rows = with_indicators(bars, [Indicator(name, "ema", n, "low")])
     v = F.col(name)
     rows = rows.withColumns({f"{name}_above": (F.col("close") > v).cast("double"), f"{name}_distance": F.col("close") / v - 1, f"{name}_slope_5": v / lag(v, 5) - 1, f"{name}_slope_10": v / lag(v, 10) - 1})
     bounce = (F.abs(F.col("low") / v - 1) <= 0.005) & (F.col("close") > F.col("open"))
@@ -26,7 +26,7 @@ def low_ema_features(bars: DataFrame, n: int = 82) -> DataFrame:
 
 def stochastic_features(bars: DataFrame, n: int = 87) -> DataFrame:
     name = f"stoch_{n}"
-    rows = bars.join(recursive(bars, [Indicator(name, "stochastic", n)]), ["symbol", "ts"])
+    rows = with_indicators(bars, [Indicator(name, "stochastic", n)])
     return rows.withColumn(f"{name}_above_50", (F.col(name) > 50).cast("double"))
 
 
@@ -38,7 +38,7 @@ def tier_adjusted_signal(above: Column, tier: Column) -> Column:
 
 def oscillator_masks(bars: DataFrame, low: float = 30, high: float = 70, n: int = 14) -> DataFrame:
     """Oversold and overbought by Wilder's RSI, and crosses of the MACD histogram through zero."""
-    rows = bars.join(recursive(bars, [Indicator("rsi_wilder", "rsi", n), Indicator("macd_histogram", "macd")]), ["symbol", "ts"])
+    rows = with_indicators(bars, [Indicator("rsi_wilder", "rsi", n), Indicator("macd_histogram", "macd")])
     positive = F.col("macd_histogram") > 0
     return rows.withColumns(
         {
@@ -62,7 +62,7 @@ def average_masks(bars: DataFrame, n: int = 82, touch: float = 0.005, days: int
 
 def indicator_fit(bars: DataFrame, specs: list[Indicator]) -> DataFrame:
     """Per indicator: share of bars with it at or above the low, inside the range, mean distance, share of closes below."""
-    rows = bars.join(recursive(bars, specs), ["symbol", "ts"])
+    rows = with_indicators(bars, specs)
     long = rows.select("low", "high", "close", F.inline(F.array(*[F.struct(F.lit(s.name).alias("indicator"), F.col(s.name).alias("v")) for s in specs]))).where("v is not null")
     share = lambda c: 100 * F.avg(c.cast("int"))
     return long.groupBy("indicator").agg(
@@ -74,7 +74,7 @@ def indicator_fit(bars: DataFrame, specs: list[Indicator]) -> DataFrame:
 def candle_behaviors(bars: DataFrame) -> DataFrame:
     """Long form of fired behaviours with an intensity from 0 to 1."""
     specs = [Indicator("e9", "ema", 9), Indicator("e20", "ema", 20), Indicator("e50", "ema", 50), Indicator("rsi", "rsi", 14), Indicator("macd", "macd")]
-    rows = bars.join(recursive(bars, specs), ["symbol", "ts"])
+    rows = with_indicators(bars, specs)
     unit = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
     jump = F.col("open") / lag("close") - 1
     mean = F.avg("volume").over(frame(20, -1))
@@ -110,3 +110,35 @@ def behavior_interactions(behaviors: DataFrame, outcomes: DataFrame, least: int
     out = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.avg("hit").alias("hit_rate")).where(F.col("n") >= least)
     out = out.join(alone.select(F.col("behavior").alias("a"), F.col("hit_rate").alias("hit_a")), "a").join(alone.select(F.col("behavior").alias("b"), F.col("hit_rate").alias("hit_b")), "b")
     return out.withColumns({"lift_a": F.col("hit_rate") - F.col("hit_a"), "lift_b": F.col("hit_rate") - F.col("hit_b")})
+
+
+def behavior_stats(behaviors: DataFrame, bars: DataFrame, horizons: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+    """Per behaviour and horizon: number, hit rate, mean, profit factor (at most 99) and deviation of the return in percent."""
+    later = F.array(*[F.struct(F.lit(h).alias("horizon"), ((F.lead("close", h).over(by_symbol()) / F.col("close") - 1) * 100).alias("ret")) for h in horizons])
+    rows = behaviors.select("symbol", "ts", "behavior").join(bars.select("symbol", "ts", later.alias("_l")), ["symbol", "ts"]).select("behavior", F.inline("_l")).where("ret is not null")
+    out = rows.groupBy("behavior", "horizon").agg(
+        F.count(F.lit(1)).alias("n"), F.avg((F.col("ret") > 0).cast("double")).alias("hit_rate"), F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("std"),
+        F.coalesce(F.sum(F.when(F.col("ret") > 0, F.col("ret"))), F.lit(0.0)).alias("_w"), F.coalesce(-F.sum(F.when(F.col("ret") <= 0, F.col("ret"))), F.lit(0.0)).alias("_l"),
+    )
+    factor = F.when(F.col("_l") > 0, F.least(F.col("_w") / F.nullif(F.col("_l"), F.lit(0.0)), F.lit(99.0))).otherwise(99.0)
+    return out.withColumns({"profit_factor": factor, "std": F.when(F.col("n") > 1, F.col("std"))}).drop("_w", "_l")
+
+
+def momentum_features(bars: DataFrame) -> DataFrame:
+    """Intraday momentum, all smoothed from the first bar: means of 9, 20 and 50 bars with slopes, RSI, MACD with crosses, ATR and compression."""
+    before = lag("close")
+    rows = bars.withColumns({"_d": F.col("close") - before, "_tr": F.greatest(F.col("high") - F.col("low"), F.coalesce(F.abs(F.col("high") - before), F.lit(0.0)), F.coalesce(F.abs(F.col("low") - before), F.lit(0.0)))})
+    rows = rows.withColumns({"_up": F.greatest(F.coalesce("_d", F.lit(0.0)), F.lit(0.0)), "_down": F.greatest(-F.coalesce("_d", F.lit(0.0)), F.lit(0.0))})
+    specs = [Indicator(f"ema{n}", "ewm", n) for n in (9, 20, 50)] + [Indicator("_12", "ewm", 12), Indicator("_26", "ewm", 26), Indicator("_g", "ewm", 14, "_up"), Indicator("_l", "ewm", 14, "_down"), Indicator("atr14", "ewm", 14, "_tr"), Indicator("_sig", "macd_signal")]
+    rows = with_indicators(rows, specs)
+    rows = rows.withColumns({"ema9_slope": F.col("ema9") - lag("ema9", 3), "ema20_slope": F.col("ema20") - lag("ema20", 3), "macd": F.col("_12") - F.col("_26"), "macd_hist": F.col("_12") - F.col("_26") - F.col("_sig")})
+    rows = rows.withColumn("rsi14", F.when(before.isNotNull() & (F.col("_l") != 0), 100 - 100 / (1 + F.col("_g") / F.nullif(F.col("_l"), F.lit(0.0)))))
+    side, earlier = F.round("macd_hist", 9), lag(F.round("macd_hist", 9))
+    quiet = F.when(F.count("atr14").over(frame(20)) == 20, F.avg("atr14").over(frame(20)))
+    known = lambda c: F.coalesce(c, F.lit(False))
+    return rows.withColumns(
+        {
+            "rsi_reclaim_bull": known((F.col("rsi14") >= 40) & (lag("rsi14") < 35)), "rsi_reclaim_bear": known((F.col("rsi14") <= 60) & (lag("rsi14") > 65)),
+            "macd_bull_cross": known((side > 0) & (earlier <= 0)), "macd_bear_cross": known((side < 0) & (earlier >= 0)), "compressed": known(F.col("atr14") < 0.75 * quiet),
+        }
+    ).drop("_d", "_tr", "_up", "_down", "_12", "_26", "_g", "_l", "_sig")

@@ -36,32 +36,16 @@ def param_search(bars: DataFrame, condition: str, grid: list[dict], horizon: int
     return out.withColumn("edge", F.when((F.col("mean") <= 0) | (F.col("n") < least), 0.0).otherwise(F.col("mean") * F.col("hit_rate")))
 
 
-def promotion(stats: DataFrame, least: int = 30, hit: float = 0.55, p: float = 0.05) -> DataFrame:
-    """Whether a signal passes, why not, and ``mean * hit * 100 * log2(n + 1)`` up to 100."""
+def promotion(stats: DataFrame, least: int = 30, hit: float = 0.55, p: float = 0.05, robust: Column | None = None) -> DataFrame:
+    """Whether a signal passes, why not, and ``mean * hit * 100 * log2(n + 1)`` up to 100, times 0.7 where ``robust`` is false."""
     reasons = {"few_events": F.col("n") < least, "low_hit_rate": F.col("hit_rate") < hit, "not_significant": F.coalesce(F.col("p_value") >= p, F.lit(True)), "no_edge": F.col("mean") <= 0}
     why = F.concat_ws("|", *[F.when(c, F.lit(n)) for n, c in reasons.items()])
     score = F.least(F.greatest(F.col("mean") * F.col("hit_rate") * 100 * F.log2(F.col("n") + 1), F.lit(0.0)), F.lit(100.0))
+    if robust is not None:
+        score = score * F.when(F.coalesce(robust, F.lit(False)), 1.0).otherwise(0.7)
     return stats.withColumns({"reasons": why, "promotion_score": score}).withColumn("passed", F.col("reasons") == "")
 
 
-def permutation_test(rows: DataFrame, signal: str, ret: str, shuffles: int = 50, seed: int = 7) -> DataFrame:
-    """Hit rate of a signal against random draws of as many bars.
-
-    In each draw every bar is taken with the signal's own frequency, by a hash of
-    seed, draw and bar: the draws repeat, need no ranking, and are combined
-    before the shuffle. The draws are a bounded range and are broadcast.
-    """
-    known = rows.where(F.col(ret).isNotNull()).select("symbol", "ts", F.col(signal).alias("on"), (F.col(ret) > 0).cast("int").alias("hit"))
-    size = known.agg(F.count_if("on").alias("k"), F.count(F.lit(1)).alias("_n"), F.avg(F.when(F.col("on"), F.col("hit"))).alias("observed"))
-    draws = rows.sparkSession.range(shuffles).withColumnRenamed("id", "draw")
-    chance = F.pmod(F.xxhash64(F.lit(seed), "draw", "symbol", "ts"), F.lit(1 << 40)) / (1 << 40)
-    drawn = known.join(F.broadcast(size)).join(F.broadcast(draws)).where(chance < F.col("k") / F.col("_n"))
-    null = drawn.groupBy("draw").agg(F.avg("hit").alias("rate"))
-    out = null.agg(F.avg("rate").alias("null_mean"), F.stddev_samp("rate").alias("null_std"), F.percentile("rate", F.lit(0.95)).alias("null_p95"), F.collect_list("rate").alias("_r"))
-    above = F.size(F.filter("_r", lambda x: x >= F.col("observed")))
-    return size.join(out).select("k", "observed", "null_mean", "null_std", "null_p95", (above / F.size("_r")).alias("p_value"), (F.col("observed") > F.col("null_p95")).alias("passed"))
-
-
 def bootstrap_p(groups: DataFrame, universe_rate: Column) -> DataFrame:
     """P of at least so many hits in draws with replacement from the universe, in closed form by the normal tail."""
     hits = F.col("hit_rate") * F.col("n")
@@ -84,19 +68,30 @@ def reconstruct_trades(bars: DataFrame, signals: DataFrame, atr: str = "atr_14",
     return out.where(F.col("_x20").isNotNull()).select("symbol", "ts", "direction", "ret_5", "ret_10", "ret_20", "mfe", "mae", "atr_pct", "stopped", "t1", "t2", "t3")
 
 
-def exit_rules(trades: DataFrame) -> DataFrame:
-    """What each exit rule would have made of every trade, in long form."""
-    u = F.col("atr_pct")
+def exit_rules(trades: DataFrame, conviction: Column | None = None) -> DataFrame:
+    """What each of ten exit rules would have made of every trade, in long form.
+
+    Targets are one, two and three ranges (``atr_pct``), the stop is 1.5. Rules with
+    targets hold five bars where no range is known. ``conviction`` says which trades
+    ``hold_20_if_high`` holds for 20 bars; without it there are none.
+    """
+    u = F.greatest(F.coalesce("atr_pct", F.lit(0.0)), F.lit(0.0))
+    known, r5, mfe, mae = u > 0, F.col("ret_5"), F.coalesce("mfe", F.lit(0.0)), F.coalesce("mae", F.lit(0.0))
+    t1, t2, t3, stopped = (known & F.col(c) for c in ("t1", "t2", "t3", "stopped"))
     stop = -1.5 * u
+    runner = F.when(F.col("t2"), 2 * u).otherwise(F.greatest(u, r5))
+    first = F.when(t1, u).when(stopped, stop).otherwise(r5)
     rules = {
-        "hold_5": F.col("ret_5"),
+        "hold_5": r5,
         "hold_10": F.col("ret_10"),
         "hold_20": F.col("ret_20"),
-        "t1_only": F.when(F.col("t1"), u).when(F.col("stopped"), stop).otherwise(F.col("ret_5")),
-        "t1_and_runner": F.when(F.col("t1"), 0.5 * u + 0.5 * F.col("ret_20")).when(F.col("stopped"), stop).otherwise(F.col("ret_5")),
-        "ladder": F.when(F.col("t3"), 2 * u).when(F.col("t2"), 1.5 * u).when(F.col("t1"), u).when(F.col("stopped"), stop).otherwise(F.col("ret_10")),
-        "break_even": F.when(F.col("t1"), F.greatest(F.col("ret_20"), F.lit(0.0))).when(F.col("stopped"), stop).otherwise(F.col("ret_20")),
-        "trail": F.when(F.col("t1"), F.greatest(F.col("mfe") - u, F.lit(0.0))).when(F.col("stopped"), stop).otherwise(F.col("ret_10")),
+        "t1_only": first,
+        "t1_and_runner": F.when(t1, 0.5 * u + 0.5 * runner).when(stopped, stop).otherwise(r5),
+        "ladder": F.when(t3, (u + 2 * u + 3 * u) / 3).when(t2, (u + 2 * u + r5) / 3).when(t1, u / 3 + 2 * r5 / 3).when(stopped, stop).otherwise(r5),
+        "break_even": F.when(t1, F.greatest(F.lit(0.0), r5)).when(stopped, stop).otherwise(r5),
+        "trail": F.when(known & (mfe >= 2 * u), F.greatest(r5, u)).when(known & (mfe >= u), F.greatest(r5, F.lit(0.0))).otherwise(r5),
+        "hold_20_if_high": F.when(conviction if conviction is not None else F.lit(False), F.col("ret_20")).otherwise(r5),
+        "tight_stop": F.when(known & (mae >= 0.75 * u) & ~F.col("t1"), -0.75 * u).otherwise(first),
     }
     return trades.select("symbol", "ts", F.inline(F.array(*[F.struct(F.lit(n).alias("rule"), c.alias("ret")) for n, c in rules.items()]))).where("ret is not null")
 

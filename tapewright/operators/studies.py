@@ -123,18 +123,17 @@ def event_shift(rows: DataFrame, features: list[str], label: str = "label") -> D
     return out.withColumns({"cliffs_delta": delta, "me": (1 + delta) / F.nullif(1 - delta, F.lit(0.0))})
 
 
-def combo_walkforward(trades: DataFrame, key: str, months: DataFrame, days: int = 60, ret: str = "ret", least: int = 5) -> DataFrame:
+def combo_walkforward(trades: DataFrame, key: str, days: int = 60, ret: str = "ret", least: int = 5) -> DataFrame:
     """Each month: combinations with an edge over the trailing days, tested on that month's trades.
 
-    Months are rows of a small table; the trailing windows are a broadcast range join.
+    A trade counts for the months that begin within ``days`` after it, two or three
+    rows, so the trailing windows are an equal key and no range join.
     """
-    m = F.broadcast(months.select(F.col("month").alias("_m")))
-    past = trades.join(m, (F.col("ts") >= F.date_sub("_m", days)) & (F.col("ts") < F.col("_m")))
+    ahead = F.explode(F.sequence(F.add_months(F.trunc("ts", "month"), 1), F.add_months(F.trunc("ts", "month"), days // 28 + 2), F.expr("interval 1 month")))
+    past = trades.withColumn("_m", ahead).where(F.datediff("_m", "ts") <= days)
     scored = past.groupBy("_m", key).agg(F.count(F.lit(1)).alias("_n"), F.avg(ret).alias("_e")).where((F.col("_n") >= least) & (F.col("_e") > 0)).select("_m", key)
     now = trades.withColumn("_m", F.trunc("ts", "month")).join(scored.withColumn("picked", F.lit(True)), ["_m", key], "left")
-    now = now.join(m, "_m")
-    out = now.groupBy(F.col("_m").alias("month")).agg(F.count(F.lit(1)).alias("n_all"), F.avg(ret).alias("mean_all"), F.count_if(F.col("picked")).alias("n_picked"), F.avg(F.when(F.col("picked"), F.col(ret))).alias("mean_picked"))
-    return out
+    return now.groupBy(F.col("_m").alias("month")).agg(F.count(F.lit(1)).alias("n_all"), F.avg(ret).alias("mean_all"), F.count_if(F.col("picked")).alias("n_picked"), F.avg(F.when(F.col("picked"), F.col(ret))).alias("mean_picked"))
 
 
 def listing_event(listings: DataFrame, bars: DataFrame, windows: Iterable[int] = (5, 21)) -> DataFrame:

@@ -168,15 +168,3 @@ def _(spark, sf):
 def _(spark, sf):
     out = _bars(spark, sf).groupBy("symbol").agg(F.max("ts").alias("latest"), F.count(F.lit(1)).alias("n_bars"), F.max_by("close", "ts").alias("last_close"))
     return out.withColumn("last_close", rounded(F.col("last_close")))
-
-
-@query(
-    "build_features",
-    f"""WITH {BARS}, {MARKET}, j AS (SELECT * FROM bars JOIN market USING (ts))
-    SELECT symbol, ts, {s_round(f"ln(close / {s_lag('close', 5)})")} AS return_5d, {s_round(f"close / ({s_full(50, 'avg(close)')}) - 1")} AS sma_distance_50,
-    {s_round(f"volume / ({s_full(20, 'avg(volume)', -1)})")} AS volume_ratio_20, {s_round(_RS(20))} AS rs_20, count(*) OVER ({W}) AS bars_so_far FROM j""",
-)
-def _(spark, sf):
-    bars = _bars(spark, sf)
-    out = ops.build_features(bars, ops.market_bar(bars))
-    return out.select("symbol", "ts", *[rounded(F.col(c)).alias(c) for c in ("return_5d", "sma_distance_50", "volume_ratio_20", "rs_20")], "bars_so_far")

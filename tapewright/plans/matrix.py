@@ -365,3 +365,19 @@ def _(spark, sf):
     rows = _matrix(spark, sf).withColumn("market_bull", (F.col("market_trend") > 0).cast("double"))
     out = features.regime_interactions(rows, list(dict.fromkeys(f for f, _ in _PRODUCTS)), ["market_above_200", "market_bull"])
     return _out(out, *[f"{f}_x_{m}" for f, m in _PRODUCTS])
+
+
+_BF = ("return_1d", "return_3d", "return_5d", "return_10d", "return_20d", "return_60d", "rsi_14", "realized_vol_20", "realized_vol_60", "dollar_volume_20", "volume_ratio_20", "sma_distance_20", "sma_distance_50",
+       "sma_distance_200", "above_sma_20", "above_sma_50", "above_sma_200")
+_BF2 = {"roc_10": f"close / {s_lag('close', 10)} - 1", "sma_distance_momentum_50": f"sma_distance_50 - {s_lag('sma_distance_50', 5)}", "rsi_momentum": f"rsi_14 - {s_lag('rsi_14', 5)}", "volume_trend_5": f"{s_full(5, 'avg(volume)')} / ({s_full(5, 'avg(volume)', -5)}) - 1"}
+_BF3 = {f"rs_{n}": f"CASE WHEN {s_lag('close', n)} > 0 AND close > 0 THEN ln(close / {s_lag('close', n)}) END - CASE WHEN {s_lag('c', n)} > 0 AND c > 0 THEN ln(c / {s_lag('c', n)}) END" for n in (20, 60, 120)}
+
+
+@query(
+    "build_features",
+    f"""WITH {BARS}, {MX}, bf AS (SELECT mx.*, mk.c, {", ".join(f"{x} AS {n}" for n, x in (_BF2 | _BF3).items())} FROM mx JOIN mk USING (ts)), bg AS (SELECT *, rs_20 - {s_lag("rs_20", 5)} AS rs_momentum FROM bf)
+    SELECT symbol, ts, k AS bars_so_far, {", ".join(f"CASE WHEN k >= 15 THEN {s_round(n)} END AS {n}" for n in (*_BF, *_BF2, *_BF3, "rs_momentum"))} FROM bg""",
+)
+def _(spark, sf):
+    bars = _bars(spark, sf)
+    return _out(features.build_features(bars, features.market_bar(bars)), *_BF, *_BF2, *_BF3, "rs_momentum", keys=("symbol", "ts", "bars_so_far"))

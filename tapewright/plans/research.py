@@ -42,10 +42,10 @@ _PROMO = f"{LONG}, s AS (SELECT symbol, horizon, {_STATS} FROM l GROUP BY symbol
 @query(
     "promotion",
     f"""WITH {_PROMO}, w AS (SELECT *, concat_ws('|', CASE WHEN n < 30 THEN 'few_events' END, CASE WHEN hit_rate < 0.55 THEN 'low_hit_rate' END, CASE WHEN coalesce(p_value >= 0.05, true) THEN 'not_significant' END, CASE WHEN mean <= 0 THEN 'no_edge' END) AS reasons FROM q)
-    SELECT symbol, horizon, n, reasons, {s_round("least(greatest(mean * hit_rate * 100 * log2(n + 1), 0), 100)", 4)} AS promotion_score, reasons = '' AS passed FROM w""",
+    SELECT symbol, horizon, n, reasons, {s_round("least(greatest(mean * hit_rate * 100 * log2(n + 1), 0), 100) * CASE WHEN n >= 300 THEN 1.0 ELSE 0.7 END", 4)} AS promotion_score, reasons = '' AS passed FROM w""",
 )
 def _(spark, sf):
-    return _out(ops.promotion(outcomes.event_stats(_events(spark, sf), ["symbol"])), "promotion_score", keys=("symbol", "horizon", "n", "reasons", "passed"), digits=4)
+    return _out(ops.promotion(outcomes.event_stats(_events(spark, sf), ["symbol"]), robust=F.col("n") >= 300), "promotion_score", keys=("symbol", "horizon", "n", "reasons", "passed"), digits=4)
 
 
 @query(
@@ -58,13 +58,6 @@ def _(spark, sf):
     return _out(out, "p_value", keys=("symbol", "horizon", "n", "significant"), digits=4)
 
 
-@query("permutation_test")
-def _(spark, sf):
-    rows = conditions.evaluate(_bars(spark, sf), "consecutive_down", n=3)
-    rows = outcomes.forward_returns(rows, [5])
-    return ops.permutation_test(rows, "signal", "fwd_5d")
-
-
 @query(
     "bootstrap_p",
     f"""WITH {LONG}, u AS (SELECT avg(CASE WHEN fwd_5d > 0 THEN 1 ELSE 0 END) AS p FROM f WHERE fwd_5d IS NOT NULL), g AS (SELECT symbol, count(*) AS n, avg(CASE WHEN ret > 0 THEN 1 ELSE 0 END) AS hit_rate FROM l WHERE horizon = 5 GROUP BY symbol),
@@ -98,19 +91,21 @@ def _(spark, sf):
     return _out(_trades(spark, sf), *_NUM, keys=("symbol", "ts", "direction", "stopped", "t1", "t2", "t3"))
 
 
+_FIRST = "CASE WHEN u > 0 AND t1 THEN u WHEN u > 0 AND stopped THEN -1.5 * u ELSE ret_5 END"
 _EXITS = {
-    "hold_5": "ret_5", "hold_10": "ret_10", "hold_20": "ret_20",
-    "t1_only": "CASE WHEN t1 THEN atr_pct WHEN stopped THEN -1.5 * atr_pct ELSE ret_5 END",
-    "t1_and_runner": "CASE WHEN t1 THEN 0.5 * atr_pct + 0.5 * ret_20 WHEN stopped THEN -1.5 * atr_pct ELSE ret_5 END",
-    "ladder": "CASE WHEN t3 THEN 2 * atr_pct WHEN t2 THEN 1.5 * atr_pct WHEN t1 THEN atr_pct WHEN stopped THEN -1.5 * atr_pct ELSE ret_10 END",
-    "break_even": "CASE WHEN t1 THEN greatest(ret_20, 0) WHEN stopped THEN -1.5 * atr_pct ELSE ret_20 END",
-    "trail": "CASE WHEN t1 THEN greatest(mfe - atr_pct, 0) WHEN stopped THEN -1.5 * atr_pct ELSE ret_10 END",
+    "hold_5": "ret_5", "hold_10": "ret_10", "hold_20": "ret_20", "t1_only": _FIRST,
+    "t1_and_runner": "CASE WHEN u > 0 AND t1 THEN 0.5 * u + 0.5 * CASE WHEN t2 THEN 2 * u ELSE greatest(u, ret_5) END WHEN u > 0 AND stopped THEN -1.5 * u ELSE ret_5 END",
+    "ladder": "CASE WHEN u > 0 AND t3 THEN (u + 2 * u + 3 * u) / 3 WHEN u > 0 AND t2 THEN (u + 2 * u + ret_5) / 3 WHEN u > 0 AND t1 THEN u / 3 + 2 * ret_5 / 3 WHEN u > 0 AND stopped THEN -1.5 * u ELSE ret_5 END",
+    "break_even": "CASE WHEN u > 0 AND t1 THEN greatest(0, ret_5) WHEN u > 0 AND stopped THEN -1.5 * u ELSE ret_5 END",
+    "trail": "CASE WHEN u > 0 AND mfe >= 2 * u THEN greatest(ret_5, u) WHEN u > 0 AND mfe >= u THEN greatest(ret_5, 0) ELSE ret_5 END",
+    "hold_20_if_high": "CASE WHEN atr_pct >= 30 THEN ret_20 ELSE ret_5 END",
+    "tight_stop": f"CASE WHEN u > 0 AND mae >= 0.75 * u AND NOT t1 THEN -0.75 * u ELSE {_FIRST} END",
 }
 
 
-@query("exit_rules", f"WITH {_TR}, e AS ({' UNION ALL '.join(f"SELECT '{n}' AS rule, {c} AS ret FROM tr" for n, c in _EXITS.items())}) SELECT rule, count(*) AS n, {s_round('avg(ret)')} AS expectancy, {s_round('avg(CASE WHEN ret > 0 THEN 1 ELSE 0 END)')} AS win_rate FROM e WHERE ret IS NOT NULL GROUP BY rule")
+@query("exit_rules", f"WITH {_TR}, e AS ({' UNION ALL '.join(f"SELECT '{n}' AS rule, {c} AS ret FROM (SELECT *, greatest(coalesce(atr_pct, 0), 0) AS u FROM tr)" for n, c in _EXITS.items())}) SELECT rule, count(*) AS n, {s_round('avg(ret)')} AS expectancy, {s_round('avg(CASE WHEN ret > 0 THEN 1 ELSE 0 END)')} AS win_rate FROM e WHERE ret IS NOT NULL GROUP BY rule")
 def _(spark, sf):
-    out = ops.exit_rules(_trades(spark, sf)).groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("expectancy"), F.avg((F.col("ret") > 0).cast("int")).alias("win_rate"))
+    out = ops.exit_rules(_trades(spark, sf), F.col("atr_pct") >= 30).groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("expectancy"), F.avg((F.col("ret") > 0).cast("int")).alias("win_rate"))
     return _out(out, "expectancy", "win_rate", keys=("rule", "n"))
 
 

@@ -129,14 +129,13 @@ def _(spark, sf):
 
 @query(
     "combo_walkforward",
-    f"""WITH {_TR}, x AS (SELECT ts, symbol || '|' || CAST(direction AS VARCHAR) AS combo, ret_5 AS ret FROM tr), mo AS (SELECT DISTINCT CAST(date_trunc('month', ts) AS DATE) AS m FROM x WHERE ts >= DATE '1998-01-01' AND ts < DATE '1999-01-01'),
+    f"""WITH {_TR}, x AS (SELECT ts, symbol || '|' || CAST(direction AS VARCHAR) AS combo, ret_5 AS ret FROM tr), mo AS (SELECT DISTINCT CAST(date_trunc('month', ts) AS DATE) AS m FROM x),
     sc AS (SELECT m, combo FROM x JOIN mo ON ts >= m - 60 AND ts < m GROUP BY m, combo HAVING count(*) >= 5 AND avg(ret) > 0), nw AS (SELECT mo.m, ret, sc.combo IS NOT NULL AS picked FROM x JOIN mo ON CAST(date_trunc('month', ts) AS DATE) = mo.m LEFT JOIN sc ON sc.m = mo.m AND sc.combo = x.combo)
     SELECT m AS month, count(*) AS n_all, {s_round("avg(ret)")} AS mean_all, count(*) FILTER (picked) AS n_picked, {s_round("avg(ret) FILTER (picked)")} AS mean_picked FROM nw GROUP BY m""",
 )
 def _(spark, sf):
     rows = _trades(spark, sf).select("ts", F.concat_ws("|", "symbol", F.col("direction").cast("string")).alias("combo"), F.col("ret_5").alias("ret"))
-    months = rows.where("ts >= date'1998-01-01' and ts < date'1999-01-01'").select(F.trunc("ts", "month").alias("month")).distinct()
-    return _out(ops.combo_walkforward(rows, "combo", months), "mean_all", "mean_picked", keys=("month", "n_all", "n_picked"))
+    return _out(ops.combo_walkforward(rows, "combo"), "mean_all", "mean_picked", keys=("month", "n_all", "n_picked"))
 
 
 _LIST = f"{BARS}, li AS (SELECT symbol, CAST(min(ts) + 400 AS DATE) AS listed FROM bars GROUP BY symbol), ix AS (SELECT b.*, listed, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS idx FROM bars b JOIN li USING (symbol) WHERE ts >= listed)"
