@@ -182,8 +182,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Text that is null or has no words gives an empty set, linked with nothing.
     A row without an id is linked with nothing, has a null component and is
-    kept. Rows that repeat an id are one document, linked if one of its texts
-    is. Other columns are not looked at; an empty table gives an empty result.
+    kept. Rows that repeat an id are one document: they share a component, linked
+    to what any of its texts is linked to; rows without words stay apart. Sets are
+    of 64-bit hashes, so two shingles of one text count as one with a probability
+    of about n * n / 2**65. Texts are taken whole, however long. Other columns are
+    not looked at; an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = materialize(rows.mapInArrow(_signatures(k), "id long, n long, mark binary, bands array<long>"), "near-signed")
@@ -195,8 +198,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     live = materialize(members.join(materialize(buckets, "near-buckets"), "bucket"), "near-live")
     texts = materialize(rows.join(live.select(F.col("node").alias("id")).distinct(), "id", "left_semi"), "near-texts")
 
+    # Texts of one id are one document, though each may have copies of its own.
+    owners = materialize(sets.select("id", "mark").distinct().join(classes, "mark"), "near-owners")
+    least = materialize(owners.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("id", "a"), "near-repeated")
+    same = owners.join(least, "id").where("a < node").select("a", F.col("node").alias("b"))
+
     tested = materialize(_pairs(live.select(F.col("center").alias("x"), F.col("node").alias("y"))), "near-pairs")
-    labels = components(_confirmed(tested, texts, k, percent))
+    labels = components(_confirmed(tested, texts, k, percent).union(same))
     for star in range(STARS):
         live = _unsettled(live, labels)
         first = F.min(F.struct(F.xxhash64("node", F.lit(star)), "node", "component", "n")).alias("c")

@@ -109,3 +109,12 @@ def test_components(spark):
         parent[max(x, y)] = min(x, y)
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: find(i) for e in edges for i in e if e[0] != e[1]}
+
+
+def test_texts_of_one_id_are_one_document(spark):
+    a, b, c = prose(71, 60), prose(72, 60), prose(73, 60)
+    docs = spark.createDataFrame(rows_of([a]), "doc_id long, text string, lang string, source string, n_chars long").limit(0)
+    rows = [(5, a), (5, b), (1, a), (2, b), (9, c), (9, c), (7, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], docs.schema)
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect()}
+    assert got == {(5, 1, False), (1, 1, True), (2, 1, False), (9, 9, True), (7, 7, True)}
