@@ -18,7 +18,8 @@ from .scratch import materialize
 
 SEQUENCE = 2048
 END_ID = 1
-#: A source with fewer tokens a sequence shares one queue with its like; so there are at most SEQUENCE / LEAST queues of their own.
+#: A source with fewer tokens a sequence shares one queue with its like, else its documents would be cut into crumbs; so
+#: there are at most SEQUENCE / LEAST queues of their own beside those that a mixture names.
 LEAST = 32
 
 
@@ -149,19 +150,47 @@ def _queues(totals: DataFrame, mixture: dict[str, int] | None, size: int) -> tup
     """Sources with a queue of their own, and the queues' ids; the queue past them is the others'."""
     by_source = totals.groupBy("source").agg(F.sum("n").alias("n"))
     everything = by_source.agg(F.sum("n")).first()[0] or 0
-    # At most size / LEAST rows can hold that large a share.
-    own = by_source.where(F.col("n") * (size // LEAST) >= everything).orderBy(F.desc("n"), "source").collect()
-    rest = everything - sum(r["n"] for r in own)
+    # At most size / LEAST sources can have that large a share, and a mixture names few.
+    large = F.col("n") * (size // LEAST) >= everything
+    own = by_source.where(large | F.col("source").isin([n for n in mixture or {} if n])).orderBy(F.desc("n"), "source").collect()
     names, counts = [r["source"] for r in own], [r["n"] for r in own]
-    if rest and (rest * size >= everything or not names):
+    if rest := everything - sum(counts):
         counts.append(rest)
-    elif rest:
-        names.pop()
-        counts[-1] += rest
     if mixture is None:
         return names, counts, None
-    weights = [mixture.get(s, 0) for s in names]
-    return names, counts, weights + [mixture.get("", 0)] * (len(counts) - len(names))
+    return names, counts, [mixture.get(s, 0) for s in [*names, *[""] * (len(counts) - len(names))]]
+
+
+def _interleaved(tokens: DataFrame, totals: DataFrame, names: list[str]) -> DataFrame:
+    """``id, at, n, ids`` of the shared queue: every source's documents spread evenly over it.
+
+    A document's key is the share of its source that lies before its middle, so
+    that any stretch of the queue has the sources' shares to within a document.
+    Places are prefix sums over the parts of one sort; no task sees all of it.
+    """
+    over = Window.partitionBy("source")
+    earlier = over.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    small = totals.where(~F.col("source").isin(names))
+    small = small.select("part", "source", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"), F.sum("n").over(over).alias("whole"))
+    rows = tokens.join(materialize(small, "pack-small"), ["part", "source"])
+    place = F.col("base") + F.col("before")
+    rows = rows.select("id", "source", "n", "ids", place.alias("place"), ((place + F.col("n") / 2) / F.col("whole")).alias("key"))
+    rows = rows.repartitionByRange("key", "source", "place").sortWithinPartitions("key", "source", "place").select("id", "n", "ids")
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            ends = held + np.cumsum(batch.column("n").to_numpy())
+            columns = [*batch.columns, pa.array([part] * len(batch), pa.int32()), pa.array(ends - batch.column("n").to_numpy(), pa.int64())]
+            held = int(ends[-1]) if len(batch) else held
+            yield pa.record_batch(columns, names=["id", "n", "ids", "part", "before"])
+
+    rows = materialize(rows.mapInArrow(run, f"id {kind}, n long, ids binary, part int, before long"), "pack-interleaved")
+    earlier = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row for each part.
+    bases = rows.groupBy("part").agg(F.sum("n").alias("m")).select("part", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("base"))
+    return rows.join(materialize(bases, "pack-bases"), "part").select("id", (F.col("base") + F.col("before")).alias("at"), "n", "ids")
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", mixture: dict[str, int] | None = None, vocabulary: str | None = None, size: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
@@ -171,30 +200,32 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     ``length, ids_crc32, doc_tokens, sequence_id, offset`` and, if asked for,
     ``ids``. A document is its ids and the end id. Each source is a queue in
     storage order. Every sequence takes from each queue its share (of all ids,
-    or after ``mixture``, a weight per source; key '' for sources too small for a
-    queue), so only the last sequence can be short. Queues are logical: a
-    document's place in its queue is a prefix sum over the counts of the parts,
-    and no queue is gathered, however large.
+    or after ``mixture``, a weight per source; key '' for all that it does not
+    name), so only the last sequence can be short. Sources with under ``LEAST`` ids
+    a sequence share a queue, over which each one's documents are spread evenly.
+    Queues are logical: a document's place in its queue is a prefix sum over the
+    counts of the parts, and no queue is gathered, however large.
 
     Null text is empty: the end id alone. A null source is the empty one. Ids
-    may be null or repeat; each row is packed. Other columns are not looked at.
+    may be null or repeat; each row is packed, equal rows one after the other.
+    Texts are encoded whole, however long, and cut where a sequence ends. An empty
+    table gives an empty result. Other columns are not looked at.
     """
     vocabulary = vocabulary or default_vocabulary()
     tokens = tokens_of(docs, id_col, text_col, source_col, vocabulary)
     totals = materialize(tokens.groupBy("part", "source").agg(F.sum("n").alias("n")), "pack-totals")
     names, counts, weights = _queues(totals, mixture, size)
     runs = schedule(counts, weights, size)
-    number = F.lit(len(names))
+    number = F.lit(None).cast("int")
     for q, name in enumerate(names):
         number = F.when(F.col("source") == name, F.lit(q)).otherwise(number)
-    totals = totals.withColumn("queue", number.cast("int"))
-    parts = totals.groupBy("queue", "part").agg(F.sum("n").alias("in_part"))
-    over = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("parts_before", F.coalesce(F.sum("in_part").over(over), F.lit(0)))
-    over = Window.partitionBy("queue", "part").orderBy("source").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.withColumn("sources_before", F.coalesce(F.sum("n").over(over), F.lit(0))).join(parts, ["queue", "part"])
-    bases = materialize(bases.select("part", "source", "queue", (F.col("parts_before") + F.col("sources_before")).alias("base")), "pack-bases")
+    over = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.withColumn("queue", number).where("queue is not null").withColumn("base", F.coalesce(F.sum("n").over(over), F.lit(0)))
+    bases = materialize(bases.select("part", "source", "queue", "base"), "pack-bases")
     placed = tokens.join(bases, ["part", "source"]).select("id", "queue", (F.col("base") + F.col("before")).alias("at"), "n", "ids")
+    if len(counts) > len(names):
+        rest = _interleaved(tokens, totals, names).withColumn("queue", F.lit(len(names)))
+        placed = placed.unionByName(rest)
     kind = placed.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -72,3 +72,39 @@ def test_odd_rows(odd_docs, no_docs):
     assert sum(r["start"] == 0 for r in found) == odd_docs.count()
     assert all(len(r["ids"]) == 4 * r["length"] for r in found)
     assert packing.pack(no_docs).count() == 0
+
+
+def test_sequences_keep_the_shares(spark):
+    """Sources of their own and small ones that share a queue: gapless sequences, each with the corpus's shares."""
+    texts = [prose(i, 60) for i in range(1500)]
+    source = lambda i: "big" if i % 2 else "mid" if i % 4 else f"small{i % 125}"
+    docs = spark.createDataFrame([(i, t, "en", source(i), len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    rows = packing.pack(docs).collect()
+    totals, by_sequence = defaultdict(int), defaultdict(list)
+    for r in rows:
+        kind = source(r["doc_id"])[:3]
+        totals[kind] += r["length"]
+        by_sequence[r["sequence_id"]].append((r["offset"], r["length"], kind))
+    assert set(by_sequence) == set(range(len(by_sequence)))
+    whole = sum(totals.values())
+    for number, pieces in by_sequence.items():
+        end = 0
+        for offset, length, _ in sorted(pieces):
+            assert offset == end
+            end += length
+        if number < len(by_sequence) - 1:
+            assert end == 2048
+            for kind in totals:
+                assert abs(sum(n for _, n, k in pieces if k == kind) - 2048 * totals[kind] / whole) < 2
+    # In the shared queue each small source is spread over the whole, not packed end to end.
+    first_half = [r for r in rows if source(r["doc_id"]).startswith("small") and r["sequence_id"] < len(by_sequence) / 2]
+    assert len({source(r["doc_id"]) for r in first_half}) == len({source(i) for i in range(1500) if source(i).startswith("small")})
+
+
+def test_a_mixture_names_its_queues(spark):
+    docs = spark.createDataFrame([(i, prose(i, 300), "en", ("a", "a", "a", "b")[i % 4] if i < 400 else "tiny", 1) for i in range(401)], "doc_id long, text string, lang string, source string, n_chars long")
+    source = {r["doc_id"]: r["source"] for r in docs.collect()}
+    taken = defaultdict(lambda: defaultdict(int))
+    for r in packing.pack(docs, mixture={"a": 1, "b": 1}).collect():
+        taken[r["sequence_id"]][source[r["doc_id"]]] += r["length"]
+    assert all(abs(taken[s]["a"] - taken[s]["b"]) <= 2 for s in range(1, 20))
