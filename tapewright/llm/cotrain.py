@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from .scratch import materialize
 from .trigrams import trigram_counts
 
-#: The models are fitted on at most so many labelled and so many unlabelled documents, those of the least id hashes.
-MOST_LABELLED, MOST_UNLABELLED = 8_000, 8_000
-#: Rounds in which the views exchange labels, and how many of each class a view hands over in a round at most.
+#: The models are fitted on at most so many labelled documents, those of the least id hashes.
+MOST_LABELLED = 8_000
+#: Rounds in which the views exchange labels. In each, every document without a label is scored by both views; of all those
+#: of which a view is sure, so many of each class, of the least hashes, train the other view.
 ROUNDS, HANDED = 4, 400
 #: A label is handed over if its view is at least that sure.
 SURE = 0.95
@@ -97,51 +100,99 @@ class Views:
         return sigmoid(logits[0]), sigmoid(logits[1]), sigmoid(self.both.score(np.column_stack(logits)))
 
 
-def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray]) -> Views | None:
-    """Fit both views; None if a class is missing where it is needed."""
+Sure = Callable[[tuple[Logistic, Logistic], tuple[Logistic, Logistic]], list[tuple[int, int, float, np.ndarray, np.ndarray]]]
+
+
+def sure_of_arrays(text: np.ndarray, page: np.ndarray, keys: np.ndarray | None = None) -> Sure:
+    """The same draw as :func:`_sure_rows` from documents in memory; keys are their numbers unless given."""
+    keys = np.arange(len(text)) if keys is None else keys
+
+    def draw(models, platts):
+        out = []
+        for v, x in enumerate((text, page)):
+            p = sigmoid(platts[v].score(models[v].score(x)[:, None]))
+            for label, certain in ((0, 1 - p >= SURE), (1, p >= SURE)):
+                at = np.flatnonzero(certain)
+                for i in at[np.argsort(keys[at], kind="stable")][:HANDED]:
+                    out.append((v, int(keys[i]), float(label), text[i], page[i]))
+        return out
+
+    return draw
+
+
+def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, sure: Sure | tuple[np.ndarray, np.ndarray]) -> Views | None:
+    """Fit both views; None if a class is missing where it is needed.
+
+    ``sure(models, platts)`` gives, for the views' present state, the documents
+    that each view is sure of: (view, key, label, text features, page features).
+    Two arrays of features are a pool in memory to draw them from.
+    """
+    sure = sure if callable(sure) else sure_of_arrays(*sure)
     held = np.arange(len(y)) % HELD_OUT == HELD_OUT - 1
     if min(len(np.unique(y[held])), len(np.unique(y[~held]))) < 2:
         return None
     given = y[~held].astype(float)
-    handed: list[dict[int, float]] = [{}, {}]
+    # By view, what the other one handed to it: label and features of each document.
+    handed: list[dict[int, tuple[float, np.ndarray]]] = [{}, {}]
     for round_ in range(ROUNDS + 1):
         models, platts = [], []
         for v in (0, 1):
-            rows = sorted(handed[v])
-            x = np.concatenate([views[v][~held], pool[v][rows]])
-            labels = np.concatenate([given, [handed[v][i] for i in rows]])
-            weights = np.concatenate([np.ones(len(given)), np.full(len(rows), HANDED_WEIGHT)])
+            more = [handed[v][k] for k in sorted(handed[v])]
+            x = np.concatenate([views[v][~held], *[f[None, :] for _, f in more]])
+            labels = np.concatenate([given, [label for label, _ in more]])
+            weights = np.concatenate([np.ones(len(given)), np.full(len(more), HANDED_WEIGHT)])
             models.append(Logistic.fit(x, labels, weights))
             platts.append(Logistic.fit(models[v].score(views[v][held])[:, None], y[held].astype(float), np.ones(held.sum()), 1e-2))
-        if round_ == ROUNDS or not len(pool[0]):
+        if round_ == ROUNDS:
             break
-        for v in (0, 1):
-            p = sigmoid(platts[v].score(models[v].score(pool[v])[:, None]))
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
-                best = [i for i in np.argsort(-sure, kind="stable") if sure[i] >= SURE and i not in handed[1 - v]]
-                handed[1 - v].update(dict.fromkeys(map(int, best[:HANDED]), label))
+        for v, key, label, text, page in sure((models[0], models[1]), (platts[0], platts[1])):
+            handed[1 - v].setdefault(key, (label, (page, text)[v]))
     logits = np.column_stack([c.score(m.score(x[held])[:, None]) for m, c, x in zip(models, platts, views, strict=True)])
     return Views(tuple(models), tuple(platts), Logistic.fit(logits, y[held].astype(float), np.ones(held.sum()), 1e-2))
 
 
-def _least(rows: DataFrame, most: int) -> DataFrame:
-    return rows.orderBy(F.xxhash64("id"), "id").limit(most)
+def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, len(batch), 200):
+            part = batch.slice(start, 200)
+            text = [text_features(t.as_py()).astype("<f4").tobytes() for t in part.column("text")]
+            page = [page_features(*x).astype("<f4").tobytes() for x in zip(*[part.column(c).to_pylist() for c in ("lang", "source", "n_chars")], strict=True)]
+            yield pa.record_batch([part.column("id"), pa.array(text, pa.binary()), pa.array(page, pa.binary())], names=["id", "t", "p"])
 
 
-def _features(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Both views of at most a sample's rows, on the driver, in the order of their hashes."""
+def _matrix(column: pa.Array) -> np.ndarray:
+    found = column.to_pylist()
+    return np.stack([np.frombuffer(b, "<f4") for b in found]).astype(np.float64) if found else np.empty((0, 1))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, len(batch), 200):
-                part = batch.slice(start, 200)
-                text = [text_features(t.as_py()).astype("<f4").tobytes() for t in part.column("text")]
-                page = [page_features(*x).astype("<f4").tobytes() for x in zip(*[part.column(c).to_pylist() for c in ("lang", "source", "n_chars")], strict=True)]
-                yield pa.record_batch([part.column("id"), part.column("label"), pa.array(text, pa.binary()), pa.array(page, pa.binary())], names=["id", "label", "t", "p"])
 
-    found = rows.mapInArrow(run, "id long, label int, t binary, p binary").orderBy(F.xxhash64("id"), "id", "t").toArrow()
-    matrix = lambda c: np.stack([np.frombuffer(b, "<f4") for b in found.column(c).to_pylist()]).astype(np.float64) if len(found) else np.empty((0, 1))
-    return matrix("t"), matrix("p"), found.column("label").to_numpy()
+def _sure_rows(pool: DataFrame) -> Sure:
+    """Scores all of ``pool`` (``key, t, p``) and draws from every row of which a view is sure."""
+
+    def draw(models, platts):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # A task needs to send no more than all tasks together may hand over.
+            best: dict[tuple[int, int], list[int]] = {}
+            for batch in batches:
+                for start in range(0, len(batch), 1000):
+                    part = batch.slice(start, 1000)
+                    key = part.column("key").to_numpy()
+                    for v, name in enumerate(("t", "p")):
+                        p = sigmoid(platts[v].score(models[v].score(_matrix(part.column(name)))[:, None]))
+                        for label, certain in ((1, p >= SURE), (0, 1 - p >= SURE)):
+                            if certain.any():
+                                best[v, label] = sorted({*best.get((v, label), []), *key[certain].tolist()})[:HANDED]
+            rows = [(v, label, k) for (v, label), keys in best.items() for k in keys]
+            columns = list(zip(*rows, strict=True)) or [[]] * 3
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["view", "label", "key"])
+
+        rank = F.row_number().over(Window.partitionBy("view", "label").orderBy("key"))
+        chosen = pool.mapInArrow(run, "view int, label int, key long").distinct().withColumn("rank", rank).where(F.col("rank") <= HANDED).drop("rank")
+        # At most 4 * HANDED rows: small enough to broadcast, whatever the corpus.
+        found = pool.join(F.broadcast(materialize(chosen, "quality-sure")), "key").dropDuplicates(["view", "label", "key"]).orderBy("view", "label", "key").toArrow()
+        rows = zip(*[found.column(c).to_pylist() for c in ("view", "key", "label")], _matrix(found.column("t")), _matrix(found.column("p")), strict=True)
+        return [(v, k, float(label), t, p) for v, k, label, t, p in rows]
+
+    return draw
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
@@ -152,32 +203,33 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", l
     round each view labels the unlabelled documents of which it is sure and hands
     them to the other view. Both are calibrated on held-out labels and combined.
 
-    The fit uses a bounded sample (``MOST_LABELLED``, ``MOST_UNLABELLED``); every
-    row is scored. Null text, language and source count as empty, null lengths as
-    0. Ids that are labelled twice with different values, null labels and null ids
-    do not train. If a class is missing every probability is 0.5.
+    The fit uses a bounded sample of the labels (``MOST_LABELLED``). The labels that
+    the views exchange come from all documents without one: each round scores every
+    one of them, and a bounded number of those sure enough trains the other view.
+    Every row is scored. Null text, language and source count as empty, null
+    lengths as 0. Rows that repeat an id are scored one by one; one of them, the
+    least, trains. Ids that are labelled twice with different values, null labels
+    and null ids do not train; ties of hashes go to the smaller one. If a class is
+    missing every probability is 0.5. Texts are read whole. An empty table gives an
+    empty result; columns other than the named ones are not looked at.
     """
     rows = docs.select(F.col(id_col).alias("id"), "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
-    marks = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("label"), F.max(label_col).alias("most"))
-    marks = marks.where("label = most and id is not null").select("id", F.col("label").cast("int").alias("label"))
-    known = rows.where("id is not null").select("id").distinct().join(marks, "id", "left")
-    sample = _least(known.where("label is not null"), MOST_LABELLED).union(_least(known.where("label is null"), MOST_UNLABELLED))
-    drawn = rows.select(F.col("id").cast("long"), "text", "lang", "source", "n_chars").join(F.broadcast(sample.withColumn("id", F.col("id").cast("long"))), "id")
-    text, page, y = _features(drawn)
-    has = ~np.isnan(y.astype(float)) if len(y) else np.zeros(0, bool)
-    fitted = co_train((text[has], page[has]), y[has], (text[~has], page[~has])) if has.any() else None
     kind = rows.schema["id"].dataType.simpleString()
+    features = materialize(rows.mapInArrow(_feature_rows, f"id {kind}, t binary, p binary"), "quality-features")
+    marks = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("label"), F.max(label_col).alias("most"))
+    marks = materialize(marks.where("label = most and id is not null").select("id", F.col("label").cast("int").alias("label")), "quality-labels")
+    # One row for each labelled id, the least; ids of the least hashes.
+    known = features.join(marks, "id").groupBy("id", "label").agg(F.min(F.struct("t", "p")).alias("f")).select("id", "label", "f.*")
+    drawn = known.orderBy(F.xxhash64("id"), "id").limit(MOST_LABELLED).orderBy(F.xxhash64("id"), "id").toArrow()
+    pool = features.where("id is not null").join(marks.select("id"), "id", "left_anti").select(F.xxhash64("id", "t", "p").alias("key"), "t", "p")
+    y = drawn.column("label").to_numpy()
+    fitted = co_train((_matrix(drawn.column("t")), _matrix(drawn.column("p"))), y, _sure_rows(pool)) if len(y) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, len(batch), 200):
-                part = batch.slice(start, 200)
-                if fitted is None:
-                    found = [np.full(len(part), 0.5)] * 3
-                else:
-                    a = np.stack([text_features(t.as_py()) for t in part.column("text")])
-                    b = np.stack([page_features(*x) for x in zip(*[part.column(c).to_pylist() for c in ("lang", "source", "n_chars")], strict=True)])
-                    found = fitted.scores(a, b)
+            for start in range(0, len(batch), 1000):
+                part = batch.slice(start, 1000)
+                found = [np.full(len(part), 0.5)] * 3 if fitted is None else fitted.scores(_matrix(part.column("t")), _matrix(part.column("p")))
                 yield pa.record_batch([part.column("id"), *[pa.array(f, pa.float64()) for f in found]], names=[id_col, "p_text", "p_page", "score"])
 
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, p_text double, p_page double, score double")
+    return features.mapInArrow(run, f"`{id_col}` {kind}, p_text double, p_page double, score double")

@@ -14,8 +14,6 @@ from .trigrams import trigram_counts
 from .urls import host_of
 
 BITS = 14
-#: The model knows so many languages at most, the most frequent ones of the training table.
-MOST_LANGUAGES = 64
 #: Neighbouring trigrams tell the same thing thrice.
 TEMPER = 1 / 3
 #: Pages that the prior of a host's domain counts for, and of a domain's parent.
@@ -23,14 +21,15 @@ STRENGTH = 4.0
 
 
 def languages_of(docs: DataFrame, lang_col: str = "lang") -> list[str]:
-    counts = docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("l")).count()
-    return sorted(r["l"] for r in counts.orderBy(F.desc("count"), "l").limit(MOST_LANGUAGES).collect())
+    """All languages of the training table, by name; there are as many as its language codes."""
+    return sorted(r["l"] for r in docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("l")).distinct().collect())
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """Log probabilities of the trigrams in each language, counted over all documents.
 
-    What reaches the driver is bounded: ``MOST_LANGUAGES`` times ``2**BITS`` counts.
+    What reaches the driver does not grow with the documents: ``2**BITS`` counts
+    (128 KB) for each language code.
     """
     languages = languages_of(docs, lang_col)
     place = {name: i for i, name in enumerate(languages)}
@@ -78,8 +77,9 @@ def identify(pages: DataFrame, training: DataFrame, id_col: str = "page_id", url
     Null html has no text and no declared language; a null url has the empty
     host and suffix. If nothing speaks for a language the most frequent one
     wins, ties go to the first by name. Without training languages ``lang`` and
-    ``text_lang`` are null. Ids may repeat or be null; other columns are not
-    looked at.
+    ``text_lang`` are null. Ids may be null; rows that repeat are counted and judged
+    one by one. Pages are read whole, however long. Other columns are not looked
+    at; an empty table gives an empty result.
     """
     languages, logs = train(training)
     size = len(languages)

@@ -94,3 +94,73 @@ def test_views_teach_each_other():
     fitted = cotrain.co_train((view(y), view(y)), y, (view(truth), view(truth)))
     p = fitted.scores(view(truth), view(truth))[2]
     assert ((p > 0.5) == truth).mean() > 0.97
+
+
+def test_cotraining_equals_a_computation_in_memory(spark):
+    """The same rounds in numpy: every unlabelled row is scored, and those of the least keys are handed over."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(3)
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    got = {r["doc_id"]: r["score"] for r in cotrain.quality_scores(docs, labels).collect()}
+    rows = docs.collect()
+    t = {r["doc_id"]: cotrain.text_features(r["text"]).astype("<f4") for r in rows}
+    p = {r["doc_id"]: cotrain.page_features(r["lang"], r["source"], r["n_chars"]).astype("<f4") for r in rows}
+    table = spark.createDataFrame([(i, bytearray(t[i].tobytes()), bytearray(p[i].tobytes())) for i in t], "id long, t binary, p binary")
+    keys = {r["id"]: (r["k"], r["o"]) for r in table.select("id", F.xxhash64("id", "t", "p").alias("k"), F.xxhash64("id").alias("o")).collect()}
+    quality = {r["doc_id"]: r["quality"] for r in labels.collect() if r["doc_id"] in t}
+    known = sorted(quality, key=lambda i: (keys[i][1], i))
+    pool = [i for i in t if i not in quality]
+    stack = lambda f, ids: np.stack([f[i].astype(np.float64) for i in ids])
+    sure = cotrain.sure_of_arrays(stack(t, pool), stack(p, pool), np.array([keys[i][0] for i in pool]))
+    fitted = cotrain.co_train((stack(t, known), stack(p, known)), np.array([quality[i] for i in known]), sure)
+    want = dict(zip(t, fitted.scores(stack(t, list(t)), stack(p, list(t)))[2], strict=True))
+    assert got.keys() == want.keys()
+    assert max(abs(got[i] - want[i]) for i in got) < 1e-6
+
+
+def test_rows_that_repeat_a_labelled_id(spark):
+    docs = spark.createDataFrame([(i % 7, f"word{i} " * (i % 30), "en", "s", i) for i in range(600)], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, quality int")
+    assert cotrain.quality_scores(docs, labels).count() == 600
+
+
+def test_fusion_equals_plain_arithmetic(spark):
+    train = spark.createDataFrame([(i, speech(x, i, 100), x) for i, x in enumerate(["en", "de", "fr"] * 5)], "doc_id long, text string, lang string")
+    hosts = ["a.x.de", "b.x.de", "c.org", "c.org", "y.fr", ""]
+    rows = [(i, f"http://{hosts[i % 6]}/p" if hosts[i % 6] else None, f'<html lang="{("en", "de", "fr", "xx")[i % 4]}">{speech(("en", "de", "fr")[i % 3], 50 + i, 6)}</html>') for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: (r["lang"], r["probability"]) for r in langid.identify(pages, train).collect()}
+    languages, logs = langid.train(train)
+    ll, declared, host = {}, {}, {}
+    for r in pages.select("page_id", langid.visible_text(F.col("html")).alias("t"), langid.declared_language(F.col("html")).alias("d"), urls.host_of(F.col("url")).alias("h")).collect():
+        score = logs @ langid.trigram_counts(r["t"], langid.BITS) * langid.TEMPER
+        ll[r["page_id"]], declared[r["page_id"]], host[r["page_id"]] = score - score.max(), r["d"], r["h"]
+    soft = {i: np.exp(v) / np.exp(v).sum() for i, v in ll.items()}
+    suffix, domain = {i: h.split(".")[-1] for i, h in host.items()}, {i: ".".join(h.split(".")[-2:]) for i, h in host.items()}
+    total = lambda key, value: sum(soft[i] for i in soft if key[i] == value)
+    everything, k = sum(soft.values()), len(languages)
+    for i in ll:
+        prior = (everything + 1 / k) / (everything.sum() + 1)
+        d = total(domain, domain[i]) - soft[i]
+        prior = (np.maximum(d, 0) + langid.STRENGTH * prior) / (d.sum() + langid.STRENGTH)
+        h = total(host, host[i]) - soft[i]
+        prior = (np.maximum(h, 0) + langid.STRENGTH * prior) / (h.sum() + langid.STRENGTH)
+        likely = lambda key: np.log((np.maximum(total(key, key[i]) - soft[i], 0) + 0.5) / (everything + 0.5 * len(set(key.values()))))  # noqa: E731, B023
+        score = ll[i] + likely(declared) + likely(suffix) + np.log(prior)
+        p = 1 / np.exp(score - score.max()).sum()
+        assert got[i][0] == languages[int(np.argmax(score))]
+        assert abs(got[i][1] - p) < 1e-9
+
+
+def test_ordinary_parameters_do_not_block():
+    for url in ("http://a.com/?ref=feed", "http://a.com/?utm_source=feed&ref=x", "http://a.com/free/", "http://a.com/free?win=1"):
+        strict, soft = urls.count_terms(url)
+        assert strict == 0 and sum(urls.SOFT[t] for s, t in urls.found_terms(url) if not s) < urls.SOFT_LIMIT
+
+
+def test_vocabulary_file(spark, tmp_path):
+    (tmp_path / "terms.tsv").write_text("badword\tstrict\nsoftly\t2\nmaybe\t1\n# a note\n")
+    strict, soft = urls.load_vocabulary(str(tmp_path / "terms.tsv"))
+    assert (strict, soft) == (("badword",), {"softly": 2, "maybe": 1})
+    pages = spark.createDataFrame([(0, "x://a.com/badword"), (1, "x://a.com/softly-maybe"), (2, "x://a.com/softly"), (2, "x://a.com/" + "maybe/" * 5000), (None, None)], "page_id long, url string")
+    found = sorted((r["page_id"] is None, r["page_id"], r["verdict"]) for r in urls.judge_urls(pages, strict=strict, soft=soft).collect())
+    assert [f[2] for f in found] == ["block", "block", "allow", "allow", "allow"]
