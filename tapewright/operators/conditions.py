@@ -150,9 +150,10 @@ def streaks(bars: DataFrame) -> DataFrame:
 
 
 def near_calendar_day(bars: DataFrame, days: DataFrame, within: int) -> DataFrame:
-    """Bars within some calendar days of a listed date (a small table): a range semi-join."""
-    dates = F.broadcast(days.select(F.col("date").alias("_d")))
-    return bars.join(dates, F.abs(F.datediff("ts", "_d")) <= within, "left_semi")
+    """Bars within some calendar days of a listed date: the dates are spread over the days around them and joined by day."""
+    around = F.sequence(F.date_sub("date", within), F.date_add("date", within))
+    near = days.select(F.explode(around).alias("_d")).distinct()
+    return bars.withColumn("_d", F.to_date("ts")).join(near, "_d", "left_semi").drop("_d")
 
 
 def same_week(bars: DataFrame, days: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.windows import sum_before
+
 #: A correlation that is no larger counts as zero: sums of floats leave such traces.
 EPSILON = 1e-12
 
@@ -74,8 +76,8 @@ def decile_table(rows: DataFrame, score: str, target: str) -> DataFrame:
 def binary_metrics(rows: DataFrame, score: str, label: str) -> DataFrame:
     """AUC (ties count half), Brier score, log loss and accuracy, from counts by distinct score.
 
-    Scores are first reduced to their distinct values, so that the running sum
-    for the AUC is over those, not over rows.
+    Scores are first reduced to their distinct values, and the running sum for the
+    AUC is taken by ranges of them.
     """
     p = F.least(F.greatest(F.col(score), F.lit(1e-15)), F.lit(1 - 1e-15))
     y = F.col(label).cast("double")
@@ -83,8 +85,7 @@ def binary_metrics(rows: DataFrame, score: str, label: str) -> DataFrame:
         F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"), F.sum((p - y) * (p - y)).alias("se"),
         F.sum(-(y * F.log(p) + (1 - y) * F.log(1 - p))).alias("ll"), F.sum(((p >= 0.5) == (y == 1)).cast("int")).alias("ok"),
     )
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(F.lit(0)).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    cells = cells.withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
+    cells = sum_before(cells.withColumn("_one", F.lit(1)), ["_one"], "s", "neg").withColumn("won", F.col("pos") * (F.col("_below") + F.col("neg") / 2))
     out = cells.agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "won", "se", "ll", "ok")])
     n = F.col("pos") + F.col("neg")
     return out.select(
@@ -109,12 +110,13 @@ def generate_folds(bounds: DataFrame, train_years: int = 3, val_months: int = 12
 def assign_folds(rows: DataFrame, folds: DataFrame, purge_days: int = 5) -> DataFrame:
     """Rows by fold and role; training rows within some days of the validation start are dropped.
 
-    The folds are a few rows and are broadcast: a range join without a shuffle.
+    The distinct dates meet the folds, both few; rows then meet their dates by an equal key.
     """
     ts = F.col("ts")
     train = (ts >= F.col("train_start")) & (ts < F.date_sub("val_start", purge_days))
     val = ts.between(F.col("val_start"), F.col("val_end"))
-    return rows.join(F.broadcast(folds), train | val).withColumn("role", F.when(val, "val").otherwise("train"))
+    dates = rows.select("ts").distinct().join(folds, train | val).withColumn("role", F.when(val, "val").otherwise("train"))
+    return rows.join(dates, "ts")
 
 
 def quantile_table(rows: DataFrame, column: str, k: int, target: str) -> DataFrame:

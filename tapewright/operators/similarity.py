@@ -15,18 +15,40 @@ def distance(a: Column, b: Column, weights: list[float] | None = None) -> Column
     return F.sqrt(F.aggregate(square, F.lit(0.0), lambda s, x: s + x))
 
 
-def knn_join(queries: DataFrame, memory: DataFrame, k: int, gates: list[str], vector: str = "embedding", key: str = "vec_id", weights: list[float] | None = None) -> DataFrame:
-    """The ``k`` nearest rows of ``memory`` that share a query's gates, itself excluded.
+def _best(met: DataFrame, k: int) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbor"))
+    return met.withColumn("rank", place).where(F.col("rank") <= k)
+
 
-    The gates are equi-join keys. The limit on the rank lets every task keep the
-    best ``k`` of each query before the shuffle, so no query gathers all its
-    candidates.
+def knn_join(queries: DataFrame, memory: DataFrame, k: int, gates: list[str], vector: str = "embedding", key: str = "vec_id", weights: list[float] | None = None, cells: int = 16) -> DataFrame:
+    """The ``k`` nearest rows of ``memory`` that share a query's gates, itself excluded; exact.
+
+    The rows of a gate are dealt to the nearest of ``cells`` of them. A query first
+    searches the nearest cells that hold enough rows; the distance of its ``k``-th
+    match bounds what is left: by the triangle inequality a cell whose radius does
+    not reach that far is skipped. Joins are by gate and cell, and the limit on the
+    rank lets every task keep its best ``k`` of a query before the shuffle.
     """
     q = queries.select(F.col(key).alias("query"), F.col(vector).alias("_q"), *gates)
     m = memory.select(F.col(key).alias("neighbor"), F.col(vector).alias("_m"), *gates)
-    met = q.join(m, gates).where("query <> neighbor").select("query", "neighbor", distance(F.col("_q"), F.col("_m"), weights).alias("distance"))
-    place = F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbor"))
-    return met.withColumn("rank", place).where(F.col("rank") <= k).select("query", "rank", "neighbor", "distance")
+    first = F.row_number().over(Window.partitionBy(*gates).orderBy(F.xxhash64("neighbor"), "neighbor"))
+    pivots = m.withColumn("cell", first).where(F.col("cell") <= cells).select(*gates, "cell", F.col("_m").alias("_p"))
+    near = m.join(pivots, gates).groupBy("neighbor", *gates).agg(F.min(F.struct(distance(F.col("_m"), F.col("_p"), weights).alias("r"), "cell")).alias("c"))
+    dealt = m.join(near.select("neighbor", *gates, "c.cell", "c.r"), ["neighbor", *gates])
+    sizes = dealt.groupBy(*gates, "cell").agg(F.max("r").alias("radius"), F.count(F.lit(1)).alias("size"))
+    plan = q.join(pivots.join(sizes, [*gates, "cell"]), gates).withColumn("away", distance(F.col("_q"), F.col("_p"), weights)).drop("_p")
+    closer = Window.partitionBy("query").orderBy("away", "cell").rowsBetween(Window.unboundedPreceding, -1)
+    # One row more than k may be needed, as the query may be among them.
+    plan = plan.withColumn("now", F.coalesce(F.sum("size").over(closer), F.lit(0)) <= k)
+
+    def met(some: DataFrame) -> DataFrame:
+        both = some.select("query", "_q", *gates, "cell").join(dealt, [*gates, "cell"]).where("query <> neighbor")
+        return both.select("query", "neighbor", distance(F.col("_q"), F.col("_m"), weights).alias("distance"))
+
+    start = _best(met(plan.where("now")), k)
+    bound = start.groupBy("query").agg(F.when(F.count(F.lit(1)) == k, F.max("distance")).alias("bound"))
+    rest = plan.where("not now").join(bound, "query", "left").where(F.col("bound").isNull() | (F.col("away") - F.col("radius") <= F.col("bound") + 1e-9))
+    return _best(start.drop("rank").unionByName(met(rest)), k).select("query", "rank", "neighbor", "distance")
 
 
 def neighbor_outcomes(matches: DataFrame, outcomes: DataFrame, key: str, value: str, least: int = 3) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.windows import by_symbol, frame, full, lag
+from ..functions.windows import by_symbol, frame, full, lag, sum_before
 from .cross_section import EPSILON, daily_ic, ic_summary
 from .outcomes import normal_tail
 
@@ -27,13 +27,13 @@ def calendar_dim(spark: SparkSession, first_year: int, last_year: int) -> DataFr
 
 
 def calendar_context(bars: DataFrame, events: DataFrame, event_type: str = "expiry") -> DataFrame:
-    """Signed days to the nearest event (ties: the later one) and whether it is in this week.
+    """Signed days to the nearest event within a month (ties: the later one) and whether it is in this week.
 
-    Events are a small dimension and are broadcast; dates, not bars, meet them.
+    Each event is spread over the days around it, so that dates meet it by an equal key.
     """
     dates = bars.select("ts").distinct()
-    days = F.broadcast(events.where(F.col("event_type") == event_type).select(F.col("date").alias("_d")))
-    met = dates.join(days, F.abs(F.datediff("_d", "ts")) <= 31).withColumn("_n", F.datediff("_d", "ts"))
+    days = events.where(F.col("event_type") == event_type).select(F.col("date").alias("_d"), F.explode(F.sequence(F.date_sub("date", 31), F.date_add("date", 31))).alias("_at"))
+    met = dates.join(days, F.to_date("ts") == F.col("_at")).withColumn("_n", F.datediff("_d", "ts"))
     near = met.groupBy("ts").agg(F.min_by("_n", F.struct(F.abs("_n"), -F.col("_n"))).alias("days_to_event"), F.max((F.date_trunc("week", "_d") == F.date_trunc("week", "ts")).cast("int")).alias("event_week"))
     return bars.join(near, "ts", "left").withColumn("event_week", F.coalesce(F.col("event_week") == 1, F.lit(False)))
 
@@ -110,14 +110,13 @@ def event_lift(rows: DataFrame, flags: list[str], label: str = "label", lag_bars
 def event_shift(rows: DataFrame, features: list[str], label: str = "label") -> DataFrame:
     """Mann-Whitney U and Cliff's delta of rises against drops, from counts by distinct value.
 
-    Values are first counted, so the running sum is over the distinct values of a
-    feature and not over its rows.
+    Values are first counted; the running sum over a feature's distinct values is
+    taken by ranges of them.
     """
     items = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("x")) for f in features])
     long = rows.where(F.col(label).isin("rise", "drop")).select(F.col(label).alias("_l"), F.inline(items)).where("x is not null")
     cells = long.groupBy("feature", "x").agg(F.count_if(F.col("_l") == "rise").alias("r"), F.count_if(F.col("_l") == "drop").alias("d"))
-    below = F.coalesce(F.sum("d").over(Window.partitionBy("feature").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cells = cells.withColumn("_won", F.col("r") * (below + F.col("d") / 2))
+    cells = sum_before(cells, ["feature"], "x", "d").withColumn("_won", F.col("r") * (F.col("_below") + F.col("d") / 2))
     out = cells.groupBy("feature").agg(F.sum("r").alias("n_rise"), F.sum("d").alias("n_drop"), F.sum("_won").alias("u"))
     delta = 2 * F.col("u") / (F.col("n_rise") * F.col("n_drop")) - 1
     return out.withColumns({"cliffs_delta": delta, "me": (1 + delta) / F.nullif(1 - delta, F.lit(0.0))})

@@ -31,7 +31,7 @@ def _(spark, sf):
     f"WITH {BARS}, {_CAL} SELECT event_type, CAST(year(date) AS INT) AS year, count(DISTINCT date) AS n_dates, count(*) AS n_bars FROM cal JOIN bars ON ts = date GROUP BY event_type, year(date)",
 )
 def _(spark, sf):
-    met = _bars(spark, sf).join(F.broadcast(ops.calendar_dim(spark, 1995, 2001)), F.col("ts") == F.col("date"))
+    met = _bars(spark, sf).join(ops.calendar_dim(spark, 1995, 2001), F.col("ts") == F.col("date"))
     return met.groupBy("event_type", F.year("date").alias("year")).agg(F.countDistinct("date").alias("n_dates"), F.count(F.lit(1)).alias("n_bars"))
 
 
