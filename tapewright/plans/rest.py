@@ -135,24 +135,34 @@ def _(spark, sf):
     return texts.split_sentences(tables.read(spark, sf, "documents"))
 
 
-#: The corpus is invented prose, so conditions are looked for in sentences that the tables' own values spell out.
-_CLAIMS_SQL = """claims AS (SELECT o_orderkey AS doc_id, 'After ' || (o_orderkey % 13) || ' red days the market turns. It gaps up ' || round(o_totalprice / 10000, 1) || '% often. Buy within ' || (o_orderkey % 25) || '% of its 52-week low!' AS text FROM orders)"""
+#: The corpus is invented prose, so conditions are also looked for in sentences that the tables' own values spell out.
+_CLAIMS_SQL = """claims AS (SELECT o_orderkey AS doc_id, 'After ' || (o_orderkey % 13) || ' red days the market turns. It gaps up ' || round(o_totalprice / 10000, 1) || '% often. Buy within ' || (o_orderkey % 25) || '% of its 52-week low!'
+    || CASE o_orderkey % 8 WHEN 0 THEN ' A hammer or a shooting star may follow. It fell 4 days in a row.' WHEN 1 THEN ' They saw 3 straight up sessions and a doji there.' WHEN 2 THEN ' Prices gapped down over 1,5 percent.' WHEN 3 THEN ' A bullish engulfing bar on an inside day.'
+       WHEN 4 THEN ' The index rallied 3 days, then an outside day.' WHEN 5 THEN ' We count 5 consecutive down days with bearish engulfing bars.' ELSE '' END AS text FROM orders)"""
 
 
 def _claims(spark, sf):
     orders = tables.read(spark, sf, "orders")
     text = F.concat(F.lit("After "), (F.col("o_orderkey") % 13).cast("string"), F.lit(" red days the market turns. It gaps up "), F.round(F.col("o_totalprice") / 10000, 1).cast("string"), F.lit("% often. Buy within "), (F.col("o_orderkey") % 25).cast("string"), F.lit("% of its 52-week low!"))
-    return orders.select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
+    more = [" A hammer or a shooting star may follow. It fell 4 days in a row.", " They saw 3 straight up sessions and a doji there.", " Prices gapped down over 1,5 percent.", " A bullish engulfing bar on an inside day.", " The index rallied 3 days, then an outside day.", " We count 5 consecutive down days with bearish engulfing bars."]
+    tail = F.coalesce(F.get(F.array(*[F.lit(m) for m in more]), (F.col("o_orderkey") % 8).cast("int")), F.lit(""))
+    return orders.select(F.col("o_orderkey").alias("doc_id"), F.concat(text, tail).alias("text"))
 
 
 _EXTRACT = " UNION ALL ".join(
-    f"SELECT doc_id, place, '{n}' AS condition, '{p}' AS parameter, try_cast(nullif(regexp_extract(lower(sentence), '{r}', 1), '') AS DOUBLE) AS value, '{d}' AS direction FROM t WHERE length(sentence) > 10" for n, r, p, d in texts.RULES
+    [f"SELECT doc_id, place, '{n}' AS condition, '{p}' AS parameter, try_cast(replace(nullif(regexp_extract(lower(sentence), '{r}', 1), ''), ',', '.') AS DOUBLE) AS value, CAST(NULL AS VARCHAR) AS detail, '{d}' AS direction FROM t WHERE length(sentence) > 10" for n, r, p, d in texts.RULES]
+    + [f"SELECT doc_id, place, 'candle', 'pattern', NULL, '{n}', '{d}' FROM t WHERE length(sentence) > 10 AND regexp_matches(lower(sentence), '{r}')" for r, n, d in texts.CANDLES]
 )
+_FOUND = f"x AS ({_EXTRACT}) SELECT doc_id, condition, parameter, {s_round('value')} AS value, detail, direction FROM x WHERE detail IS NOT NULL OR value BETWEEN CASE WHEN parameter = 'n' THEN 2 ELSE 0.1 END AND CASE WHEN parameter = 'n' THEN 10 ELSE 20 END QUALIFY row_number() OVER (PARTITION BY doc_id, condition, value, detail ORDER BY place) = 1"
 
 
-@query(
-    "extract_conditions",
-    f"WITH {_CLAIMS_SQL}, {_SENT.replace('FROM documents', 'FROM claims')}, x AS ({_EXTRACT}) SELECT doc_id, condition, parameter, {s_round('value')} AS value, direction FROM x WHERE value BETWEEN CASE WHEN parameter = 'n' THEN 2 ELSE 0.1 END AND CASE WHEN parameter = 'n' THEN 10 ELSE 20 END QUALIFY row_number() OVER (PARTITION BY doc_id, condition, value ORDER BY place) = 1",
-)
+@query("extract_conditions", f"WITH {_CLAIMS_SQL}, {_SENT.replace('FROM documents', 'FROM claims')}, {_FOUND}")
+def _(spark, sf):
+    return _out(texts.extract_conditions(_claims(spark, sf)), "value", keys=("doc_id", "condition", "parameter", "detail", "direction"))
+
+
+@query("extract_conditions_documents", f"WITH docs AS (SELECT doc_id, text || ' ' || CASE WHEN doc_id % 50 = 0 THEN '. It dropped 3 sessions before.' ELSE '' END AS text FROM documents), {_SENT.replace('FROM documents', 'FROM docs')}, {_FOUND}")
 def _(spark, sf):
-    return _out(texts.extract_conditions(_claims(spark, sf)), "value", keys=("doc_id", "condition", "parameter", "direction"))
+    more = F.when(F.col("doc_id") % 50 == 0, ". It dropped 3 sessions before.").otherwise("")
+    docs = tables.read(spark, sf, "documents").select("doc_id", F.concat("text", F.lit(" "), more).alias("text"))
+    return _out(texts.extract_conditions(docs), "value", keys=("doc_id", "condition", "parameter", "detail", "direction"))
