@@ -106,3 +106,57 @@ def pattern_outcome_stats(bars: DataFrame, horizon: int = 5) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.avg("_f").alias("mean"), F.stddev_samp("_f").alias("std"), F.avg((F.col("_f") > 0).cast("int")).alias("hit_rate"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
     )
     return out.withColumn("std", F.when(F.col("n") > 1, F.col("std")))
+
+
+#: The patterns of the trend-aware set (fixed names).
+TREND_AWARE = (
+    "doji", "long_legged_doji", "hammer", "inverted_hammer", "shooting_star", "hanging_man", "marubozu", "spinning_top", "bullish_engulfing", "bearish_engulfing", "inside_bar", "outside_bar", "harami",
+    "tweezer_top", "tweezer_bottom", "morning_star", "evening_star", "three_white_soldiers", "three_black_crows",
+)
+
+
+def trend_aware_patterns(bars: DataFrame) -> DataFrame:
+    """Nineteen stricter patterns: reversals need a trend, two closes in a row the same way, and stars a mean body over 20 bars."""
+    o, h, low, c = (F.col(x) for x in ("open", "high", "low", "close"))
+    rows = bars.withColumns({"_b": F.abs(c - o), "_r": h - low, "_u": h - F.greatest(o, c), "_l": F.least(o, c) - low, "_g": c > o, "_k": c < o})
+    rising, falling = (c > lag("close")) & (lag("close") > lag("close", 2)), (c < lag("close")) & (lag("close") < lag("close", 2))
+    spread = F.nullif("_r", F.lit(0.0))
+    rows = rows.withColumns(
+        {
+            "_up": F.coalesce(rising, F.lit(False)), "_down": F.coalesce(falling, F.lit(False)), "_bp": F.coalesce(F.col("_b") / spread, F.lit(0.0)), "_us": F.coalesce(F.col("_u") / spread, F.lit(0.0)),
+            "_ls": F.coalesce(F.col("_l") / spread, F.lit(0.0)), "_place": F.coalesce((F.least(o, c) - low) / spread, F.lit(0.0)), "_avg": F.coalesce(full(20, F.avg("_r"), frame(20)), F.col("_r")), "_mean": F.avg("_b").over(frame(20, -1)),
+        }
+    )
+    rows = rows.withColumns({f"{x}{n}": lag(x, n) for n in (1, 2) for x in ("_b", "_g", "_k", "_up", "_down", "open", "close", "high", "low")})
+    x = F.col
+    b, u, d = x("_b"), x("_u"), x("_l")
+    below = (d >= 2 * b) & (x("_place") <= 0.25) & (u <= 0.25 * b)
+    above = (u >= 2 * b) & (x("_place") >= 0.75) & (d <= 0.25 * b)
+    half = 0.5 * x("_mean")
+    bodies = (x("_b2") > half) & (x("_b1") > half) & (b > half)
+    inside_green = (o > x("open1")) & (c < x("close1")) & (o < x("close1")) & (c > x("open1"))
+    inside_red = (o < x("open1")) & (c > x("close1")) & (o > x("close1")) & (c < x("open1"))
+    near = lambda name: F.abs(x(f"{name}1") - x(name)) <= 0.01 * (x(f"{name}1") + x(name)) / 2
+    mid2 = (x("open2") + x("close2")) / 2
+    rules = {
+        "doji": (x("_bp") < 0.05) & (u >= 2 * b) & (d >= 2 * b),
+        "long_legged_doji": (x("_bp") < 0.05) & (u >= 3 * b) & (d >= 3 * b) & (x("_r") >= 1.5 * x("_avg")),
+        "hammer": below & x("_down"),
+        "inverted_hammer": above & x("_down"),
+        "shooting_star": above & x("_up"),
+        "hanging_man": below & x("_up"),
+        "marubozu": (x("_us") < 0.05) & (x("_ls") < 0.05),
+        "spinning_top": (x("_bp") < 0.25) & (u >= b) & (d >= b) & (F.abs(u - d) <= 0.3 * F.greatest(u, d)),
+        "bullish_engulfing": x("_down1") & x("_g") & (o < x("close1")) & (c > x("open1")) & ((c - o) > (x("open1") - x("close1"))),
+        "bearish_engulfing": x("_up1") & x("_k") & (o > x("close1")) & (c < x("open1")) & ((o - c) > (x("close1") - x("open1"))),
+        "inside_bar": (h < x("high1")) & (low > x("low1")),
+        "outside_bar": (h > x("high1")) & (low < x("low1")),
+        "harami": (b < x("_b1")) & F.when(x("_g1"), inside_green).otherwise(inside_red),
+        "tweezer_top": x("_up1") & x("_k") & near("high"),
+        "tweezer_bottom": x("_down1") & x("_g") & near("low"),
+        "morning_star": x("_down2") & x("_k2") & (x("_b1") < half) & (x("low1") < x("low2")) & x("_g") & (c > mid2),
+        "evening_star": x("_up2") & x("_g2") & (x("_b1") < half) & (x("high1") > x("high2")) & x("_k") & (c < mid2),
+        "three_white_soldiers": x("_g2") & x("_g1") & x("_g") & (x("close1") > x("close2")) & (c > x("close1")) & (x("open1") > x("open2")) & (x("open1") < x("close2")) & (o > x("open1")) & (o < x("close1")) & bodies,
+        "three_black_crows": x("_k2") & x("_k1") & x("_k") & (x("close1") < x("close2")) & (c < x("close1")) & (x("open1") < x("open2")) & (x("open1") > x("close2")) & (o < x("open1")) & (o > x("close1")) & bodies,
+    }
+    return rows.withColumns({n: F.coalesce(rules[n], F.lit(False)) for n in TREND_AWARE}).select(*bars.columns, *TREND_AWARE)

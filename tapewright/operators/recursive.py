@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.recurrences import Indicator, with_indicators
 from ..functions.windows import by_symbol, frame, lag
@@ -142,3 +143,17 @@ def momentum_features(bars: DataFrame) -> DataFrame:
             "macd_bull_cross": known((side > 0) & (earlier <= 0)), "macd_bear_cross": known((side < 0) & (earlier >= 0)), "compressed": known(F.col("atr14") < 0.75 * quiet),
         }
     ).drop("_d", "_tr", "_up", "_down", "_12", "_26", "_g", "_l", "_sig")
+
+
+def compare_indicators(bars: DataFrame, specs: list[Indicator], horizon: int = 5) -> DataFrame:
+    """Variants of an average side by side: how they fit the bars, and hit rate and mean log return after a close crosses above, ranked by both."""
+    fit = indicator_fit(bars, specs)
+    rows = with_indicators(bars, specs)
+    later = F.log(F.lead("close", horizon).over(by_symbol()) / F.col("close"))
+    pairs = F.array(*[F.struct(F.lit(s.name).alias("indicator"), _cross(F.col("close") > F.col(s.name), True).alias("up")) for s in specs])
+    long = rows.select(later.alias("r"), pairs.alias("_p")).select("r", F.inline("_p")).where("up and r is not null")
+    crosses = long.groupBy("indicator").agg(F.count(F.lit(1)).alias("n_cross"), F.avg((F.col("r") > 0).cast("double")).alias("hit_rate"), F.avg("r").alias("mean_return"))
+    out = fit.join(crosses, "indicator", "left")
+    # As many rows as variants.
+    order = Window.orderBy(F.desc(F.round("hit_rate", 9)), F.round("mean_distance", 9), "indicator")
+    return out.withColumn("rank", F.row_number().over(order))

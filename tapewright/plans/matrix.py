@@ -12,7 +12,7 @@ from ..operators import features, matrix, patterns, votes
 from ..sources import matrix as files
 from .features import _bars, _out
 from .patterns import PATTERNS
-from .registry import BARS, W, query, s_full, s_lag, s_round
+from .registry import BARS, HOURLY, W, query, s_full, s_lag, s_round
 
 _RETURNS = ", ".join(f"CASE WHEN {s_lag('close', n)} > 0 AND close > 0 THEN ln(close / {s_lag('close', n)}) END AS return_{n}d" for n in features.RETURNS)
 _AVERAGES = ", ".join(f"{s_full(n, 'avg(close)')} AS a{n}" for n in features.AVERAGES)
@@ -381,3 +381,19 @@ _BF3 = {f"rs_{n}": f"CASE WHEN {s_lag('close', n)} > 0 AND close > 0 THEN ln(clo
 def _(spark, sf):
     bars = _bars(spark, sf)
     return _out(features.build_features(bars, features.market_bar(bars)), *_BF, *_BF2, *_BF3, "rs_momentum", keys=("symbol", "ts", "bars_so_far"))
+
+
+@query(
+    "read_intraday",
+    f"""WITH {HOURLY}, a AS (SELECT upper(symbol) AS symbol, ts + INTERVAL 5 HOUR AS ts, close, volume FROM hourly UNION ALL SELECT upper(symbol), ts + INTERVAL 5 HOUR, close, volume + 1 FROM hourly WHERE hour(ts) = 9)
+    SELECT symbol, ts, {s_round("arg_max(close, volume)")} AS close, {s_round("max(volume)")} AS volume FROM a GROUP BY symbol, ts""",
+)
+def _(spark, sf):
+    from ..sources import tables
+
+    folder = f"{_shared_folder(spark)}/tapewright/intraday-{uuid.uuid4().hex}"
+    bars = tables.hourly_bars(spark, sf).select("symbol", F.col("ts").cast("timestamp").alias("ts"), "open", "high", "low", "close", F.col("volume").cast("int"))
+    bars.write.parquet(f"{folder}/a")
+    bars.where("hour(ts) = 9").withColumn("volume", F.col("volume") + 1).write.parquet(f"{folder}/b")
+    found = tables.read_intraday(spark, [f"{folder}/a", f"{folder}/b"], "UTC-05:00")
+    return found.select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), rounded(F.col("close")).alias("close"), rounded(F.col("volume")).alias("volume"))

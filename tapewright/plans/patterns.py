@@ -80,3 +80,32 @@ def _(spark, sf):
 def _(spark, sf):
     out = ops.pattern_outcome_stats(_bars(spark, sf))
     return out.select("pattern", "bias", "n", *[rounded(F.col(c), 4).alias(c) for c in ("mean", "std", "hit_rate")], "first_ts", "last_ts")
+
+
+_TA_LAGS = ", ".join(f"{s_lag(c, n)} AS {c}{n}" for n in (1, 2) for c in ("b", "g", "k", "up", "down", "open", "close", "high", "low"))
+_BELOW, _ABOVE = "d >= 2 * b AND place <= 0.25 AND u <= 0.25 * b", "u >= 2 * b AND place >= 0.75 AND d <= 0.25 * b"
+_BODIES = "b2 > 0.5 * mean AND b1 > 0.5 * mean AND b > 0.5 * mean"
+_TA = {
+    "doji": "bp < 0.05 AND u >= 2 * b AND d >= 2 * b", "long_legged_doji": "bp < 0.05 AND u >= 3 * b AND d >= 3 * b AND r >= 1.5 * av",
+    "hammer": f"{_BELOW} AND down", "inverted_hammer": f"{_ABOVE} AND down", "shooting_star": f"{_ABOVE} AND up", "hanging_man": f"{_BELOW} AND up", "marubozu": "us < 0.05 AND ls < 0.05",
+    "spinning_top": "bp < 0.25 AND u >= b AND d >= b AND abs(u - d) <= 0.3 * greatest(u, d)",
+    "bullish_engulfing": "down1 AND g AND open < close1 AND close > open1 AND close - open > open1 - close1", "bearish_engulfing": "up1 AND k AND open > close1 AND close < open1 AND open - close > close1 - open1",
+    "inside_bar": "high < high1 AND low > low1", "outside_bar": "high > high1 AND low < low1",
+    "harami": "b < b1 AND CASE WHEN g1 THEN open > open1 AND close < close1 AND open < close1 AND close > open1 ELSE open < open1 AND close > close1 AND open > close1 AND close < open1 END",
+    "tweezer_top": "up1 AND k AND abs(high1 - high) <= 0.01 * (high1 + high) / 2", "tweezer_bottom": "down1 AND g AND abs(low1 - low) <= 0.01 * (low1 + low) / 2",
+    "morning_star": "down2 AND k2 AND b1 < 0.5 * mean AND low1 < low2 AND g AND close > (open2 + close2) / 2", "evening_star": "up2 AND g2 AND b1 < 0.5 * mean AND high1 > high2 AND k AND close < (open2 + close2) / 2",
+    "three_white_soldiers": f"g2 AND g1 AND g AND close1 > close2 AND close > close1 AND open1 > open2 AND open1 < close2 AND open > open1 AND open < close1 AND {_BODIES}",
+    "three_black_crows": f"k2 AND k1 AND k AND close1 < close2 AND close < close1 AND open1 < open2 AND open1 > close2 AND open < open1 AND open > close1 AND {_BODIES}",
+}
+
+
+@query(
+    "trend_aware_patterns",
+    f"""WITH {BARS}, x AS (SELECT *, abs(close - open) AS b, high - low AS r, high - greatest(open, close) AS u, least(open, close) - low AS d, close > open AS g, close < open AS k,
+        coalesce(close > {s_lag("close")} AND {s_lag("close")} > {s_lag("close", 2)}, false) AS up, coalesce(close < {s_lag("close")} AND {s_lag("close")} < {s_lag("close", 2)}, false) AS down FROM bars),
+    y AS (SELECT *, coalesce(b / nullif(r, 0), 0) AS bp, coalesce(u / nullif(r, 0), 0) AS us, coalesce(d / nullif(r, 0), 0) AS ls, coalesce((least(open, close) - low) / nullif(r, 0), 0) AS place,
+        coalesce({s_full(20, "avg(r)")}, r) AS av, avg(b) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS mean, {_TA_LAGS} FROM x)
+    SELECT symbol, ts, {", ".join(f"coalesce({rule}, false) AS {n}" for n, rule in _TA.items())} FROM y""",
+)
+def _(spark, sf):
+    return ops.trend_aware_patterns(_bars(spark, sf)).select("symbol", "ts", *ops.TREND_AWARE)

@@ -193,3 +193,18 @@ _MB = ("rsi_reclaim_bull", "rsi_reclaim_bear", "macd_bull_cross", "macd_bear_cro
 def _(spark, sf):
     out = ops.momentum_features(tables.hourly_bars(spark, sf))
     return out.select("symbol", "ts", *[rounded(F.col(c), 4).alias(c) for c in _MN], *_MB)
+
+
+@query(
+    "compare_indicators",
+    f"""WITH RECURSIVE {REC}, cx AS (SELECT *, {s_lead("close", 5)} AS later, {", ".join(f"coalesce(close > {c} AND NOT lag(close > {c}) OVER ({W}), false) AS up_{c}" for c in _FIT.values())} FROM ri),
+    l AS ({" UNION ALL ".join(f"SELECT '{n}' AS indicator, {c} AS v, low, high, close FROM ri WHERE {c} IS NOT NULL" for n, c in _FIT.items())}),
+    f AS (SELECT indicator, count(*) AS n, avg(abs(close / v - 1) * 100) AS mean_distance FROM l GROUP BY indicator),
+    u AS ({" UNION ALL ".join(f"SELECT '{n}' AS indicator, ln(later / close) AS r FROM cx WHERE later IS NOT NULL AND up_{c}" for n, c in _FIT.items())}),
+    c AS (SELECT indicator, count(*) AS n_cross, avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END) AS hit_rate, avg(r) AS mean_return FROM u GROUP BY indicator)
+    SELECT indicator, n, n_cross, {s_round("mean_distance")} AS mean_distance, {s_round("hit_rate")} AS hit_rate, {s_round("mean_return")} AS mean_return,
+           CAST(row_number() OVER (ORDER BY round(hit_rate, 9) DESC, round(mean_distance, 9), indicator) AS INT) AS rank FROM f LEFT JOIN c USING (indicator)""",
+)
+def _(spark, sf):
+    specs = [Indicator(f"ema_{n}", "ema", n, "low") for n in (20, 50, 82)] + [Indicator("dema_50", "dema", 50, "low")]
+    return _out(ops.compare_indicators(_bars(spark, sf), specs), "mean_distance", "hit_rate", "mean_return", keys=("indicator", "n", "n_cross", "rank"))

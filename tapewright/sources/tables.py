@@ -72,3 +72,12 @@ def adjust_bars(bars: DataFrame) -> DataFrame:
     """Open, high, low and close on the basis of the adjusted close."""
     ratio = F.when(F.col("close") == 0, F.lit(1.0)).otherwise(F.col("adjusted_close") / F.col("close"))
     return bars.withColumns({c: F.col(c) * ratio for c in ("open", "high", "low")} | {"close": F.col("adjusted_close")})
+
+
+def read_intraday(spark: SparkSession, paths: list[str], zone: str = "UTC") -> DataFrame:
+    """Bars from many files: instants in UTC, numbers as doubles, one row for each symbol and instant, the one with the most volume."""
+    rows = spark.read.option("mergeSchema", "true").parquet(*paths)
+    number = {c: F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close", "volume")}
+    rows = rows.select(F.upper("symbol").alias("symbol"), F.to_utc_timestamp("ts", zone).alias("ts"), *number.values()).where("ts is not null and close is not null")
+    best = F.max(F.struct("volume", "close", "open", "high", "low")).alias("b")
+    return rows.groupBy("symbol", "ts").agg(best).select("symbol", "ts", *[F.col(f"b.{c}").alias(c) for c in number])
