@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunks, cotrain, exact, langid, minhash, packing, passages, quality, rans, urls
+from . import chunks, cotrain, exact, langid, middle, minhash, packing, passages, quality, rans, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op8_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotrain.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle.digests(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op8_cotrained_quality": op8_cotrained_quality,
@@ -65,11 +69,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_minmax_near_dedup": op5_minmax_near_dedup,
         "op6_exact_dedup": op6_exact_dedup,
         "op9_quality_outliers": op9_quality_outliers,
+        "op11_fill_in_middle": op11_fill_in_middle,
     }
 
 
 ORACLE: dict[str, str] = {
     "op2_url_vocabulary": urls.oracle(),
+    "op11_fill_in_middle": middle.oracle(),
     "op6_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER same AS keep_id,
