@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunks, cotrain, exact, langid, middle, minhash, packing, passages, quality, rans, urls
+from . import caps, chunks, cotrain, exact, langid, middle, minhash, packing, passages, quality, rans, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return middle.digests(_table(spark, sf_dir, "documents"))
 
 
+def op12_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op8_cotrained_quality": op8_cotrained_quality,
@@ -70,12 +74,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_exact_dedup": op6_exact_dedup,
         "op9_quality_outliers": op9_quality_outliers,
         "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_cap_filters": op12_cap_filters,
     }
 
 
 ORACLE: dict[str, str] = {
     "op2_url_vocabulary": urls.oracle(),
     "op11_fill_in_middle": middle.oracle(),
+    "op12_cap_filters": caps.oracle(),
     "op6_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER same AS keep_id,
