@@ -103,10 +103,15 @@ def filters_of(vectors: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(rows), np.concatenate(names)
 
 
-def usable(vector: Column) -> Column:
-    """Whether a vector is there, not zero, and without null or non-finite components."""
+def usable_components(vector: Column) -> Column:
+    """Whether a vector is there, without null or non-finite components."""
     good = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    return F.coalesce(F.forall(vector, good) & F.exists(vector, lambda x: x != 0), F.lit(False))
+    return F.coalesce(F.forall(vector, good), F.lit(False))
+
+
+def usable(vector: Column) -> Column:
+    """Whether it isn't zero either."""
+    return usable_components(vector) & F.coalesce(F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
 def _matrix(column: pa.Array, kind: type = np.float64) -> np.ndarray:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import caps, chunks, cotrain, exact, langid, middle, minhash, packing, passages, quality, rans, urls
+from . import caps, chunks, cotrain, exact, langid, middle, minhash, negatives, packing, passages, quality, rans, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op12_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return caps.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_hilbert_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine_negatives(negatives.relabelled(_table(spark, sf_dir, "embeddings")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op8_cotrained_quality": op8_cotrained_quality,
@@ -75,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_outliers": op9_quality_outliers,
         "op11_fill_in_middle": op11_fill_in_middle,
         "op12_cap_filters": op12_cap_filters,
+        "op13_hilbert_negatives": op13_hilbert_negatives,
     }
 
 
@@ -82,6 +87,7 @@ ORACLE: dict[str, str] = {
     "op2_url_vocabulary": urls.oracle(),
     "op11_fill_in_middle": middle.oracle(),
     "op12_cap_filters": caps.oracle(),
+    "op13_hilbert_negatives": negatives.oracle(),
     "op6_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER same AS keep_id,
