@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.windows import frame, lag, lead, rounded
 from ..operators import conditions, evidence as ops, features, outcomes
 from .features import MARKET, _bars, _out
+from ..sources.written import written
 from .matrix import _PARTS, _VOTE, _voted
 from .outcomes import LONG, _events
 from .patterns import PATTERNS
@@ -279,7 +280,8 @@ def _(spark, sf):
     SELECT key, value, count(*) AS n, {s_round("avg(CASE WHEN later > 0 THEN 1.0 ELSE 0.0 END)")} AS hit_rate, {s_round("avg(later)")} AS mean FROM l GROUP BY key, value""",
 )
 def _(spark, sf):
-    rows = ops.independent_alignment(_voted(spark, sf))
+    # Written: the levels are then columns of a scan, and not expanded again for every key.
+    rows = written(ops.independent_alignment(_voted(spark, sf)), "levels")
     keys = {"aligned": F.col("aligned"), "regime_supports": F.when(F.col("regime_dir") == F.col("group_direction"), "yes").otherwise("no")}
     return _out(ops.evidence_breakdown(rows, F.col("group_level").isin("HIGH", "VERY_HIGH"), keys, "later"), "hit_rate", "mean", keys=("key", "value", "n"))
 

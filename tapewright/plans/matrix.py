@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.windows import by_symbol, rounded
 from ..operators import features, matrix, patterns, votes
 from ..sources import matrix as files
+from ..sources.written import new_folder, written
 from .features import _bars, _out
 from .patterns import PATTERNS
 from .registry import BARS, HOURLY, W, query, s_full, s_lag, s_round
@@ -69,22 +68,13 @@ def _(spark, sf):
     return _triggered(spark, sf).select("symbol", "ts", *_TRIGGERS)
 
 
-def _shared_folder(spark):
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="tapewright-")
-    return folder.rstrip("/")
-
-
 @query(
     "feature_matrix_files",
     f"""WITH {BARS}, {MX} SELECT symbol, ts AS date, {s_round("rsi_14")} AS rsi_14, {s_round("return_20d")} AS return_20d, CAST(NULL AS DOUBLE) AS not_there, {s_round("later")} AS later
     FROM mx WHERE ts BETWEEN DATE '1996-01-01' AND DATE '1997-12-31' AND later IS NOT NULL AND least(1.0, k / 500.0) >= 0.7""",
 )
 def _(spark, sf):
-    path = f"{_shared_folder(spark)}/tapewright/matrix-{uuid.uuid4().hex}"
+    path = new_folder(spark, "matrix")
     rows = _matrix(spark, sf).withColumn("data_quality_score", F.least(F.lit(1.0), F.col("k") / 500))
     files.write_feature_matrix(rows, path)
     out = files.read_feature_matrix(spark, path, "1996-01-01", "1997-12-31", ["rsi_14", "return_20d", "not_there"], "later", 0.7)
@@ -106,14 +96,13 @@ _PATTERN = f"""{_MT},
         FROM pa)"""
 
 
-def _with_pattern(spark, sf):
-    rows = _triggered(spark, sf)
+def _with_pattern(rows):
     return votes.component_pattern(rows, list(_TRIGGERS), matrix.trigger_stats(rows, list(_TRIGGERS), "later"), hit=0.5)
 
 
 @query("component_pattern", f"WITH {BARS}, {_PATTERN} SELECT mt.symbol, mt.ts, pattern_dir, {s_round('pattern_str')} AS pattern_str FROM mt LEFT JOIN pattern USING (symbol, ts)")
 def _(spark, sf):
-    return _out(_with_pattern(spark, sf), "pattern_str", keys=("symbol", "ts", "pattern_dir"))
+    return _out(_with_pattern(_triggered(spark, sf)), "pattern_str", keys=("symbol", "ts", "pattern_dir"))
 
 
 #: Candlestick patterns stand for the calibrated signals.
@@ -127,10 +116,13 @@ _SIGNALS = """
                     FROM pr WHERE n >= 2 AND up + down > 0)"""
 
 
-def _with_probability(spark, sf, rows):
+def _with_probability(spark, sf, rows, known=None):
+    """``known`` has ``symbol, ts, later`` of all rows; by default they are taken from ``rows``."""
     fired = patterns.pattern_signals(_bars(spark, sf)).select("symbol", "ts", F.col("pattern").alias("signal"))
-    known = fired.join(rows.select("symbol", "ts", "later"), ["symbol", "ts"]).where("later is not null")
-    promoted = known.groupBy("signal").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("later") > 0).cast("double")).alias("hit_rate"), F.avg("later").alias("avg_return"))
+    later = (rows if known is None else known).select("symbol", "ts", "later").where("later is not null")
+    known = fired.join(later, ["symbol", "ts"])
+    hit = F.avg((F.col("later") > 0).cast("double"))
+    promoted = known.groupBy("signal").agg(F.count(F.lit(1)).alias("n"), hit.alias("hit_rate"), F.avg("later").alias("avg_return"))
     return votes.component_probability(rows, fired, promoted, hit=0.48)
 
 
@@ -193,21 +185,29 @@ _VOTE = f"""{_PATTERN}, {_SIGNALS}, {_IC}, {_ML},
                   ELSE (0.65 * s / w + 0.35 * aligned / (up + down + flat)) * 100 * fit END - risk, 0), 100) AS score FROM v4)"""
 
 
-def _voted(spark, sf):
-    rows = _with_feature_ic(_with_pattern(spark, sf))
-    rows = _with_probability(spark, sf, rows)
+def _components(spark, sf):
+    """The matrix with direction and strength of every component, written once for all queries over the vote.
+
+    The matrix is written first: trigger statistics, correlations and the rows
+    themselves read it. Each component's columns are then plain columns of a scan,
+    however often the vote uses them.
+    """
+    base = written(_triggered(spark, sf), "matrix")
+    rows = _with_probability(spark, sf, _with_feature_ic(_with_pattern(base)), base)
     known = lambda c: F.coalesce(c, F.lit(0.0))
     logit = F.round(12 * known("sma_distance_50") - 8 * known("return_5d") + known("rsi_c") / 50, 6)
     rows = rows.withColumn("probability", 1 / (1 + F.exp(-logit)))
-    from pyspark.sql.window import Window
-
     rows = rows.withColumn("rk", F.percent_rank().over(Window.partitionBy("ts").orderBy("probability")))
     ml, strength = votes.component_ml(F.col("probability"), F.col("rk"))
     _, regime, regime_strength = votes.component_regime(F.col("market_trend"), F.col("market_above_200"))
     quality = F.when(F.col("k") < 100, 0.65).when(F.col("k") < 300, 0.75).otherwise(0.9)
     risk = votes.component_risk(quality, F.col("dollar_volume_20") * 20, -F.col("dist_52w_high") / 10, F.col("atr_pct"))
     rows = rows.withColumns({"ml_dir": ml, "ml_str": strength, "regime_dir": regime, "regime_str": regime_strength, "risk": risk})
-    return votes.confluence_score(votes.alignment(rows, list(_PARTS)), list(_PARTS))
+    return written(rows, "components")
+
+
+def _voted(spark, sf):
+    return votes.confluence_score(votes.alignment(_components(spark, sf), list(_PARTS)), list(_PARTS))
 
 
 @query("run_confluence", f"WITH {PATTERNS}, {_VOTE} SELECT symbol, ts, direction, aligned, conflicting, flat AS neutral, {s_round('risk')} AS risk, {s_round('score', 4)} AS score FROM vote")
@@ -303,8 +303,6 @@ _ZONES = {"pattern": "pattern_component", "breakout": "breakout_component"}
     FROM z, b WHERE later IS NOT NULL GROUP BY key, value""",
 )
 def _(spark, sf):
-    from pyspark.sql.window import Window
-
     day = Window.partitionBy("ts")
     rows = _componentwise(spark, sf)
     rank = F.row_number().over(day.orderBy(F.desc(F.col("flags_bull") - F.col("flags_bear")), "symbol"))
@@ -391,7 +389,7 @@ def _(spark, sf):
 def _(spark, sf):
     from ..sources import tables
 
-    folder = f"{_shared_folder(spark)}/tapewright/intraday-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "intraday")
     bars = tables.hourly_bars(spark, sf).select("symbol", F.col("ts").cast("timestamp").alias("ts"), "open", "high", "low", "close", F.col("volume").cast("int"))
     bars.write.parquet(f"{folder}/a")
     bars.where("hour(ts) = 9").withColumn("volume", F.col("volume") + 1).write.parquet(f"{folder}/b")
