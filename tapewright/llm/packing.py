@@ -79,15 +79,21 @@ class Run:
 
 
 def _one_sequence(weights: list[int], left: list[int], size: int) -> list[int]:
-    """Deficit round-robin over queues of which some run dry in this sequence."""
+    """Deficit round-robin over queues of which some run dry in this sequence.
+
+    Queues of weight 0 give nothing until the others are dry, and then by what they have left.
+    """
     takes, deficit = [0] * len(left), [0.0] * len(left)
     room = min(size, sum(left))
     while room:
-        alive = [q for q in range(len(left)) if left[q] > takes[q]]
-        total = sum(weights[q] for q in alive)
+        rest = [n - took for n, took in zip(left, takes, strict=True)]
+        alive = [q for q, n in enumerate(rest) if n and weights[q]]
+        share = weights if alive else rest
+        alive = alive or [q for q, n in enumerate(rest) if n]
+        total = sum(share[q] for q in alive)
         shared = room
         for q in alive:
-            deficit[q] += shared * weights[q] / total if total else shared / len(alive)
+            deficit[q] += shared * share[q] / total
             take = min(int(deficit[q]), left[q] - takes[q], room)
             if not take and q == alive[-1] and room == shared:
                 take = 1
@@ -101,15 +107,25 @@ def schedule(totals: list[int], weights: list[int] | None = None, size: int = SE
     """Runs that use up all queues, with each queue's share of every sequence after its weight.
 
     Without weights a queue's share is its share of all ids, and all run dry
-    together. With weights the rest share what an empty queue leaves.
+    together. With weights the rest share what an empty queue leaves, after their
+    weights; queues of weight 0 give nothing until no other has ids left, and then
+    by what they have. Weights are whole numbers from 0; one so small that it gives
+    under an id a sequence gives one.
     """
+    if weights and min(weights) < 0:
+        raise ValueError(f"weights must not be negative: {weights}")
+    if len(totals) >= size:
+        raise ValueError(f"{len(totals)} queues can't share sequences of {size} ids")
     left, base, first, runs = list(totals), [0] * len(totals), 0, []
     while sum(left):
         alive = [(weights or totals)[q] if left[q] else 0 for q in range(len(left))]
         if not sum(alive):
             alive = list(left)
-        least = -(-sum(alive) // size)
-        alive = [max(w, least) if n else 0 for w, n in zip(alive, left, strict=True)]
+        # Every queue that gives anything gives an id a sequence at least, else a difference of two rounded sums can
+        # fall. In units this fine that raises no other weight; the least is such that raised ones still have their id.
+        alive = [w * size for w in alive]
+        least = -(-sum(alive) // (size - len(alive)))
+        alive = [max(w, least) if w else 0 for w in alive]
         upto = [0]
         for w in alive:
             upto.append(upto[-1] + w)
@@ -147,12 +163,17 @@ def cuts(runs: list[Run], q: int, at: int, n: int) -> Iterator[tuple[int, int, i
 
 
 def _queues(totals: DataFrame, mixture: dict[str, int] | None, size: int) -> tuple[list[str], list[int], list[int] | None]:
-    """Sources with a queue of their own, and the queues' ids; the queue past them is the others'."""
+    """Sources with a queue of their own, and the queues' ids; the queue past them is the others'.
+
+    With a mixture these are the sources that it names, so that its key '' is the weight of all others together.
+    """
     by_source = totals.groupBy("source").agg(F.sum("n").alias("n"))
     everything = by_source.agg(F.sum("n")).first()[0] or 0
     # At most size / LEAST sources can have that large a share, and a mixture names few.
-    large = F.col("n") * (size // LEAST) >= everything
-    own = by_source.where(large | F.col("source").isin([n for n in mixture or {} if n])).orderBy(F.desc("n"), "source").collect()
+    chosen = F.col("n") * (size // LEAST) >= everything
+    if mixture is not None:
+        chosen = F.col("source").isin([n for n in mixture if n])
+    own = by_source.where(chosen).orderBy(F.desc("n"), "source").collect()
     names, counts = [r["source"] for r in own], [r["n"] for r in own]
     if rest := everything - sum(counts):
         counts.append(rest)
@@ -199,10 +220,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     Columns: ``<id_col>, start`` (ids of the document before the piece),
     ``length, ids_crc32, doc_tokens, sequence_id, offset`` and, if asked for,
     ``ids``. A document is its ids and the end id. Each source is a queue in
-    storage order. Every sequence takes from each queue its share (of all ids,
-    or after ``mixture``, a weight per source; key '' for all that it does not
-    name), so only the last sequence can be short. Sources with under ``LEAST`` ids
-    a sequence share a queue, over which each one's documents are spread evenly.
+    storage order. Every sequence takes from each queue its share, so only the last
+    sequence can be short. Shares are those of all ids, or follow ``mixture``: a whole
+    number per source, key '' for all together that it does not name. When a queue
+    is dry, the others share its part. A weight of 0, as of unnamed sources without
+    the key '', means nothing until all weighted ones are dry. Without a mixture,
+    sources with under ``LEAST`` ids a sequence share a queue; with one, all that it
+    does not name do. Each one's documents are spread evenly over that queue.
     Queues are logical: a document's place in its queue is a prefix sum over the
     counts of the parts, and no queue is gathered, however large.
 

@@ -1,5 +1,6 @@
 import zlib
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -108,3 +109,73 @@ def test_a_mixture_names_its_queues(spark):
     for r in packing.pack(docs, mixture={"a": 1, "b": 1}).collect():
         taken[r["sequence_id"]][source[r["doc_id"]]] += r["length"]
     assert all(abs(taken[s]["a"] - taken[s]["b"]) <= 2 for s in range(1, 20))
+
+
+def plain_round_robin(totals, weights, size):
+    """Ids of each queue per sequence, from a loop that carries exact deficits from one sequence to the next."""
+    left, owed, out = list(totals), [Fraction(0)] * len(totals), []
+    while sum(left):
+        room, takes = min(size, sum(left)), [0] * len(left)
+        while room:
+            alive = [q for q in range(len(left)) if left[q] and weights[q]]
+            share = weights if alive else list(left)
+            alive = alive or [q for q in range(len(left)) if left[q]]
+            part = room
+            for q in alive:
+                owed[q] += Fraction(part * share[q], sum(share[k] for k in alive))
+            for q in sorted(alive, key=lambda q: -owed[q]):
+                take = max(0, min(int(owed[q]), left[q], room))
+                takes[q], left[q], owed[q], room = takes[q] + take, left[q] - take, owed[q] - take, room - take
+            if room == part or (0 < room < len(alive)):
+                q = max((q for q in alive if left[q]), key=lambda q: owed[q], default=None)
+                if q is not None:
+                    takes[q], left[q], owed[q], room = takes[q] + 1, left[q] - 1, owed[q] - 1, room - 1
+        out.append(takes)
+    return out
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 4000), min_size=1, max_size=5), st.data())
+def test_schedule_follows_a_plain_round_robin(totals, data):
+    """Until a queue runs dry, the running sums of both stay within the ids that rounding can owe."""
+    weights = data.draw(st.lists(st.integers(0, 9), min_size=len(totals), max_size=len(totals)).filter(any))
+    runs, plain = packing.schedule(totals, weights, 128), plain_round_robin(totals, weights, 128)
+    assert sum(r.count for r in runs) == len(plain)
+    given_out = [[r.start(q, t + 1) - r.start(q, t) for q in range(len(totals))] for r in runs for t in range(r.count)]
+    ours, theirs = np.cumsum(given_out, axis=0), np.cumsum(plain, axis=0)
+    for a, b in zip(ours, theirs, strict=True):
+        if any(n >= total - len(totals) for n, total, w in zip(b, totals, weights, strict=True) if w):
+            break
+        assert max(abs(a - b)) <= len(totals)
+        assert all(n == 0 for n, w in zip(a, weights, strict=True) if not w)
+
+
+def test_weights_hold_whatever_their_size():
+    run = packing.schedule([100_000, 100_000, 100_000], [3, 1, 0], 2048)[0]
+    assert [run.start(q, 1) for q in range(3)] == [1536, 512, 0]
+    with pytest.raises(ValueError, match="negative"):
+        packing.schedule([5, 5], [1, -1])
+
+
+@pytest.mark.parametrize(("mixture", "shares"), [({"a": 3, "b": 1}, (1536, 512, 0)), ({"a": 2, "b": 1, "": 1}, (1024, 512, 512))])
+def test_unnamed_sources(spark, mixture, shares):
+    """Sources c and d are named by no key: without '' they wait, with it they have its weight together."""
+    docs = spark.createDataFrame([(i, prose(i, 300), "en", "abcd"[i % 4], 1) for i in range(400)], "doc_id long, text string, lang string, source string, n_chars long")
+    taken = defaultdict(lambda: defaultdict(int))
+    for r in packing.pack(docs, mixture=mixture).collect():
+        taken[r["sequence_id"]]["abcd"[r["doc_id"] % 4]] += r["length"]
+    for s in range(15):
+        found = (taken[s]["a"], taken[s]["b"], taken[s]["c"] + taken[s]["d"])
+        assert sum(found) == 2048
+        assert all(abs(n - share) <= 1 for n, share in zip(found, shares, strict=True))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 3000), min_size=1, max_size=8), st.data())
+def test_queues_never_go_back(totals, data):
+    weights = data.draw(st.none() | st.lists(st.sampled_from([0, 1, 2, 300, 70_000]), min_size=len(totals), max_size=len(totals)))
+    for r in packing.schedule(totals, weights, 64):
+        for q in range(len(totals)):
+            places = [r.start(q, t) for t in range(r.count + 1)]
+            assert places == sorted(places)
+            assert places[-1] <= totals[q]
