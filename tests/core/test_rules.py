@@ -162,6 +162,15 @@ def test_neighbours_equal_a_full_search(spark):
             assert got.get(q["vec_id"], []) == [i for _, i in near[:7]]
 
 
+def test_neighbours_of_copies_and_odd_vectors(spark):
+    """Copies are ranked by id, large components compared exactly, vectors without a distance come last."""
+    rows = [(i, [1.0, 2.0], 1) for i in range(40)] + [(50, None, 1), (51, [1.0, None], 1), (52, [1e200, 0.0], 1), (53, [1.0], 1), (60, [3.0, 2.0], 2), (61, None, 2), (62, [3.0, 5.0], 2), (63, [0.0, 2.0], 2), (None, [3.0, 2.0], 2)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    out = similarity.knn_join(vectors.where("vec_id in (5, 60)"), vectors, 4, ["label"], cells=3)
+    got = [(r["query"], r["rank"], r["neighbor"], r["distance"]) for r in out.orderBy("query", "rank").collect()]
+    assert got == [(5, 1, 0, 0.0), (5, 2, 1, 0.0), (5, 3, 2, 0.0), (5, 4, 3, 0.0), (60, 1, 62, 3.0), (60, 2, 63, 3.0), (60, 3, 61, None)]
+
+
 def test_indicators_keep_the_bars(spark):
     out = with_indicators(bars_of(spark, [(1, 2, 0, i) for i in range(1, 6)]), [Indicator("e", "ema", 3)]).orderBy("ts").collect()
     assert [r["e"] for r in out] == [None, None, 2.0, 3.0, 4.0]
