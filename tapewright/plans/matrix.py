@@ -50,12 +50,12 @@ def _later():
     return F.lead("close", 5).over(by_symbol()) / F.col("close") - 1
 
 
-def _matrix(spark, sf):
-    return matrix.feature_matrix(_bars(spark, sf)).withColumns({"later": _later(), "k": F.row_number().over(by_symbol())})
+def _matrix(spark, sf, bars=None):
+    return matrix.feature_matrix(_bars(spark, sf) if bars is None else bars).withColumns({"later": _later(), "k": F.row_number().over(by_symbol())})
 
 
-def _triggered(spark, sf):
-    return _matrix(spark, sf).withColumns(matrix.trigger_proxies())
+def _triggered(spark, sf, bars=None):
+    return _matrix(spark, sf, bars).withColumns(matrix.trigger_proxies())
 
 
 @query("feature_matrix", f"WITH {BARS}, {MX} SELECT symbol, ts, {', '.join(f'{s_round(c)} AS {c}' for c in matrix.NAMES)} FROM mx")
@@ -116,9 +116,9 @@ _SIGNALS = """
                     FROM pr WHERE n >= 2 AND up + down > 0)"""
 
 
-def _with_probability(spark, sf, rows, known=None):
+def _with_probability(bars, rows, known=None):
     """``known`` has ``symbol, ts, later`` of all rows; by default they are taken from ``rows``."""
-    fired = patterns.pattern_signals(_bars(spark, sf)).select("symbol", "ts", F.col("pattern").alias("signal"))
+    fired = patterns.pattern_signals(bars).select("symbol", "ts", F.col("pattern").alias("signal"))
     later = (rows if known is None else known).select("symbol", "ts", "later").where("later is not null")
     known = fired.join(later, ["symbol", "ts"])
     hit = F.avg((F.col("later") > 0).cast("double"))
@@ -128,7 +128,8 @@ def _with_probability(spark, sf, rows, known=None):
 
 @query("component_probability", f"WITH {PATTERNS}, {_MT}, {_SIGNALS} SELECT mt.symbol, mt.ts, probability_dir, {s_round('probability_str')} AS probability_str FROM mt LEFT JOIN probability USING (symbol, ts)")
 def _(spark, sf):
-    return _out(_with_probability(spark, sf, _triggered(spark, sf)), "probability_str", keys=("symbol", "ts", "probability_dir"))
+    bars = _bars(spark, sf)
+    return _out(_with_probability(bars, _triggered(spark, sf, bars)), "probability_str", keys=("symbol", "ts", "probability_dir"))
 
 
 #: Features whose correlation with the later return is measured in each market regime.
@@ -192,8 +193,9 @@ def _components(spark, sf):
     themselves read it. Each component's columns are then plain columns of a scan,
     however often the vote uses them.
     """
-    base = written(_triggered(spark, sf), "matrix")
-    rows = _with_probability(spark, sf, _with_feature_ic(_with_pattern(base)), base)
+    bars = _bars(spark, sf)
+    base = written(_triggered(spark, sf, bars), "matrix")
+    rows = _with_probability(bars, _with_feature_ic(_with_pattern(base)), base)
     known = lambda c: F.coalesce(c, F.lit(0.0))
     logit = F.round(12 * known("sma_distance_50") - 8 * known("return_5d") + known("rsi_c") / 50, 6)
     rows = rows.withColumn("probability", 1 / (1 + F.exp(-logit)))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tapewright.functions.recurrences import Indicator, with_indicators
 from tapewright.operators import evidence, patterns, research, similarity, tables, votes
+from tapewright.plans import QUERIES, matrix as plans_matrix
+from tapewright.sources import tables as sources
 
 DAY = dt.date(2024, 1, 1)
 BARS = "symbol string, ts date, open double, high double, low double, close double, volume double, adjusted_close double"
@@ -171,6 +173,34 @@ def test_neighbours_of_copies_and_odd_vectors(spark):
     assert got == [(5, 1, 0, 0.0), (5, 2, 1, 0.0), (5, 3, 2, 0.0), (5, 4, 3, 0.0), (60, 1, 62, 3.0), (60, 2, 63, 3.0), (60, 3, 61, None)]
 
 
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", ["behavior_stats", "behavior_interactions", "listing_performance", "listing_breakdowns"])
+def test_prints_are_not_read_again_for_each_use_of_bars(spark, name):
+    assert not [f for f in QUERIES[name](spark, SMALL).inputFiles() if "lineitem" in f or "orders" in f]
+
+
+def test_the_vote_makes_bars_once(spark, monkeypatch):
+    calls, daily = [], sources.daily_bars
+    monkeypatch.setattr(sources, "daily_bars", lambda *a: calls.append(a) or daily(*a))
+    QUERIES["run_confluence"](spark, SMALL)
+    assert len(calls) == 1
+
+
+def test_the_matrix_is_written_from_written_bars(spark, monkeypatch):
+    seen = []
+
+    def stop(rows, path):
+        seen.extend(rows.inputFiles())
+        raise InterruptedError
+
+    monkeypatch.setattr(plans_matrix.files, "write_feature_matrix", stop)
+    with pytest.raises(InterruptedError):
+        QUERIES["feature_matrix_files"](spark, SMALL)
+    assert seen and not [f for f in seen if "lineitem" in f or "orders" in f]
+
+
 def test_indicators_keep_the_bars(spark):
     out = with_indicators(bars_of(spark, [(1, 2, 0, i) for i in range(1, 6)]), [Indicator("e", "ema", 3)]).orderBy("ts").collect()
     assert [r["e"] for r in out] == [None, None, 2.0, 3.0, 4.0]
