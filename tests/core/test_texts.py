@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from tapewright.operators import templates, texts
@@ -25,3 +27,17 @@ def test_planted_sentences(spark):
     got = {(r["doc_id"], r["condition"], r["value"], r["place"]) for r in texts.extract_conditions(docs).collect()}
     assert got == {(1, "consecutive_down", 3.0, 0), (2, "gap_up", 3.0, 0), (3, "near_52w_low", 5.0, 0)}
     assert templates.chunk_text(docs).where(F.col("doc_id") == 4).count() == 0
+
+
+def test_every_pattern_needs_a_word_that_is_looked_for_first():
+    """Without the optional groups and alternatives, each pattern still holds one of the words."""
+    for pattern in [rule[1] for rule in texts.RULES] + [rule[0] for rule in texts.CANDLES]:
+        plain = re.sub(r"\((?:\?:)?[^()]*(?:\([^()]*\)[^()]*)*\)\??", " ", pattern.replace("(?:day|session)s?", "days").replace(r"\s+", " "))
+        assert any(word in plain for word in texts.NEEDED), pattern
+
+
+def test_sentences_without_any_needed_word_are_not_searched(spark):
+    docs = spark.createDataFrame([(1, "Nothing is said here at all. It FELL 3 SESSIONS in a row."), (2, "Nothing else is said."), (3, None)], "doc_id long, text string")
+    out = texts.extract_conditions(docs)
+    assert [(r["doc_id"], r["condition"], r["value"]) for r in out.collect()] == [(1, "consecutive_down", 3.0)]
+    assert "contains" in out._jdf.queryExecution().optimizedPlan().toString().lower()
