@@ -188,6 +188,24 @@ def test_the_vote_makes_bars_once(spark, monkeypatch):
     assert len(calls) == 1
 
 
+@pytest.mark.parametrize("name", ["daily_bars", "weekly_bars", "hourly_bars"])
+def test_prints_are_not_sorted_for_bars(spark, monkeypatch, name):
+    plans, keep = [], sources.written
+    monkeypatch.setattr(sources, "written", lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df, label))
+    getattr(sources, name)(spark, SMALL)
+    assert "HashAggregate" in plans[0] and not [x for x in ("SortAggregate", "SortMergeJoin", "BroadcastHashJoin") if x in plans[0]]
+
+
+def test_bars_of_prints_that_tie(spark):
+    rows = [("a", 1, 5, 2, 10.0, 1.0), ("a", 1, 5, 1, 11.0, 2.0), ("a", 1, 4, 9, None, 3.0), ("a", 1, 7, 1, 12.0, 1.0), ("a", 1, 7, 2, 9.0, 1.0), ("b", 1, 5, 0, 99.0, 1.0)]
+    rows += [(None, 1, 6, 1, 3.0, 1.0), (None, None, 8, 2, 4.0, 1.0), (None, None, 8, 1, 5.0, 1.0), ("a", 2, -3, 1, 6.0, 1.0), ("a", 2, None, 1, 7.0, 1.0)]
+    prints = spark.createDataFrame(rows, "symbol string, ts int, k long, n int, price double, size double")
+    got = {(r["symbol"], r["ts"]): tuple(r)[2:] for r in sources.bars_from_prints(prints, F.col("k"), ["k", "n"]).collect()}
+    assert got == {
+        ("a", 1): (None, 12.0, 9.0, 9.0, 8.0), ("b", 1): (99.0, 99.0, 99.0, 99.0, 1.0), (None, 1): (3.0, 3.0, 3.0, 3.0, 1.0), (None, None): (5.0, 5.0, 4.0, 4.0, 2.0), ("a", 2): (6.0, 7.0, 6.0, 6.0, 2.0),
+    }
+
+
 def test_the_matrix_is_written_from_written_bars(spark, monkeypatch):
     seen = []
 
