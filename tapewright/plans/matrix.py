@@ -277,8 +277,9 @@ _CNAMES = ("volatility_component", "pattern_component", "breakout_component", "s
 
 
 def _componentwise(spark, sf):
-    fired = patterns.pattern_signals(_bars(spark, sf)).groupBy("symbol", "ts").agg(F.collect_list("pattern").alias("patterns"))
-    rows = _matrix(spark, sf).join(fired, ["symbol", "ts"], "left").withColumn("patterns", F.coalesce("patterns", F.array().cast("array<string>")))
+    bars = _bars(spark, sf)
+    fired = patterns.pattern_signals(bars).groupBy("symbol", "ts").agg(F.collect_list("pattern").alias("patterns"))
+    rows = _matrix(spark, sf, bars).join(fired, ["symbol", "ts"], "left").withColumn("patterns", F.coalesce("patterns", F.array().cast("array<string>")))
     pull = F.when((F.col("return_20d") > 0) & (F.col("return_5d") < 0), "pullback").when((F.col("return_20d") < 0) & (F.col("return_5d") < 0), "reversal")
     rs = F.when(F.col("dist_52w_high").isNotNull(), 100 * (1 - F.least("dist_52w_high", F.lit(1.0))))
     return matrix.component_scores(rows.withColumns({"pullback_class": pull, "rs_score": rs, "atr_pct": F.col("atr_pct") * 100}), breakouts=_BREAK)
