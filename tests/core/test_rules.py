@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tapewright.functions.recurrences import Indicator, with_indicators
 from tapewright.operators import evidence, patterns, research, similarity, tables, votes
-from tapewright.plans import QUERIES, matrix as plans_matrix
+from tapewright.plans import QUERIES, evidence as plans_evidence, matrix as plans_matrix
 from tapewright.sources import tables as sources
 
 DAY = dt.date(2024, 1, 1)
@@ -188,6 +188,23 @@ def test_the_vote_makes_bars_once(spark, monkeypatch):
     assert len(calls) == 1
 
 
+@pytest.mark.parametrize("name", ["evidence_breakdown"])
+def test_prints_are_read_for_bars_only(spark, monkeypatch, name):
+    """Whatever a query builds on bars, prints are read for their sums and for their ends, once each and unsorted."""
+    seen, keep = [], sources.written
+
+    def noted(df, label):
+        if [f for f in df.inputFiles() if "lineitem" in f]:
+            seen.append((label, "SortMergeJoin" in df._jdf.queryExecution().executedPlan().toString()))
+        return keep(df, label)
+
+    for module in (sources, plans_matrix, plans_evidence):
+        monkeypatch.setattr(module, "written", noted)
+    out = QUERIES[name](spark, SMALL)
+    assert [label for label, _ in seen] == ["bar-ends", "bars"] and not seen[0][1]
+    assert not [f for f in out.inputFiles() if "lineitem" in f or "orders" in f]
+
+
 @pytest.mark.parametrize("name", ["daily_bars", "weekly_bars", "hourly_bars"])
 def test_prints_are_not_sorted_for_bars(spark, monkeypatch, name):
     plans, keep = [], sources.written
