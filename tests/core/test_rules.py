@@ -188,7 +188,7 @@ def test_the_vote_makes_bars_once(spark, monkeypatch):
     assert len(calls) == 1
 
 
-@pytest.mark.parametrize("name", ["alignment_variants", "evidence_breakdown"])
+@pytest.mark.parametrize("name", ["alignment_variants", "evidence_breakdown", "listing_breakdowns"])
 def test_prints_are_read_for_bars_only(spark, monkeypatch, name):
     """Whatever a query builds on bars, prints are read for their sums and for their ends, once each and unsorted."""
     seen, keep = [], sources.written
