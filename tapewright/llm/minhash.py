@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from .components import components
 from .scratch import materialize
 from .shingles import mixed, shingle_set
+from .workers import give_back, tidy
 
 #: Hash functions; each gives its minimum and its maximum, so a signature has twice as many values.
 FUNCTIONS = 180
@@ -54,6 +55,7 @@ def band_keys(signature: np.ndarray, functions: int = FUNCTIONS, rows: int = ROW
 
 
 def _signatures(k: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, len(batch), 500):
@@ -90,6 +92,7 @@ def _linked(k: int, percent: int):
             both = len(np.intersect1d(s, t, assume_unique=True))
             return bool(both) and 100 * both >= percent * (len(s) + len(t) - both)
 
+        give_back()
         return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
 
     return linked
@@ -127,6 +130,7 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _shingle_rows(k: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, len(whole), 500):

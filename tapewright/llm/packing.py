@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from .bpe import default_vocabulary, encoder, slices
 from .scratch import materialize
+from .workers import tidy
 
 SEQUENCE = 2048
 END_ID = 1
@@ -29,6 +30,7 @@ def tokens_of(docs: DataFrame, id_col: str, text_col: str, source_col: str, voca
     The result is written out, so a part stays the same when tasks run again.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held, enc = TaskContext.get().partitionId(), {}, encoder(vocabulary)
         for whole in batches:
@@ -199,6 +201,7 @@ def _interleaved(tokens: DataFrame, totals: DataFrame, names: list[str]) -> Data
     rows = rows.repartitionByRange("key", "source", "place").sortWithinPartitions("key", "source", "place").select("id", "n", "ids")
     kind = rows.schema["id"].dataType.simpleString()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held = TaskContext.get().partitionId(), 0
         for batch in batches:
@@ -252,6 +255,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
         placed = placed.unionByName(rest)
     kind = placed.schema["id"].dataType.simpleString()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "ids", 500_000):
