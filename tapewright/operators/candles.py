@@ -131,15 +131,19 @@ def similarity_latest(rows: DataFrame, k: int = 50, shown: int = 5, vector: str
 def similarity_backtest(matches: DataFrame, outcomes: DataFrame, sizes: Iterable[int]) -> DataFrame:
     """For several ``k`` from one search at the largest: hit rate of the neighbours' mean as a forecast, error and correlation.
 
-    ``matches`` has ``query, rank, neighbor``, ``outcomes`` has ``key, y``.
+    ``matches`` has ``query, rank, neighbor``, ``outcomes`` has ``key, y``. Every
+    query with a neighbour counts; one whose forecast or outcome is unknown is no hit
+    and has no part in error and correlation.
     """
     y = outcomes.select(F.col("key").alias("neighbor"), F.col("y").alias("_n"))
     truth = outcomes.select(F.col("key").alias("query"), F.col("y").alias("truth"))
     sums = matches.join(y, "neighbor").groupBy("query").agg(*[F.avg(F.when(F.col("rank") <= k, F.col("_n"))).alias(f"p{k}") for k in sizes]).join(truth, "query")
-    long = sums.select("truth", F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"p{k}").alias("guess")) for k in sizes]))).where("guess is not null")
-    both = F.covar_pop("guess", "truth") / F.nullif(F.stddev_pop("guess") * F.stddev_pop("truth"), F.lit(0.0))
+    long = sums.select("truth", F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"p{k}").alias("guess")) for k in sizes])))
+    # Of pairs that are known on both sides.
+    spread = F.stddev_pop(F.when(F.col("truth").isNotNull(), F.col("guess"))) * F.stddev_pop(F.when(F.col("guess").isNotNull(), F.col("truth")))
+    both = F.covar_pop("guess", "truth") / F.nullif(spread, F.lit(0.0))
     return long.groupBy("k").agg(
-        F.count(F.lit(1)).alias("n"), F.avg((F.col("guess") * F.col("truth") > 0).cast("double")).alias("hit_rate"), F.avg((F.col("guess") - F.col("truth")) ** 2).alias("mse"), both.alias("correlation"),
+        F.count(F.lit(1)).alias("n"), F.avg(_known(F.col("guess") * F.col("truth") > 0).cast("double")).alias("hit_rate"), F.avg((F.col("guess") - F.col("truth")) ** 2).alias("mse"), both.alias("correlation"),
     )
 
 

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tapewright.functions.recurrences import Indicator, with_indicators
 from tapewright.operators import evidence, patterns, research, similarity, tables, votes
-from tapewright.plans import QUERIES, evidence as plans_evidence, matrix as plans_matrix
+from tapewright.plans import ORACLE, QUERIES, evidence as plans_evidence, matrix as plans_matrix
 from tapewright.sources import tables as sources
 
 DAY = dt.date(2024, 1, 1)
@@ -173,6 +175,20 @@ def test_neighbours_of_copies_and_odd_vectors(spark):
     assert got == [(5, 1, 0, 0.0), (5, 2, 1, 0.0), (5, 3, 2, 0.0), (5, 4, 3, 0.0), (60, 1, 62, 3.0), (60, 2, 63, 3.0), (60, 3, 61, None)]
 
 
+def test_the_backtest_asks_for_every_row(spark, tmp_path):
+    """Rows of any id are queries, those without a vector too, as in SQL."""
+    rnd = random.Random(3)
+    rows = [(i, [rnd.gauss(0, 1) for _ in range(4)], i % 3) for i in range(60)]
+    rows += [(100, None, 0), (101, [1.0, 2.0, 3.0, 4.0], None), (None, [1.0, 2.0, 3.0, 4.0], 0), (104, [0.5] * 4, 7), (105, [0.5] * 4, 8), (106, None, 8)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(con.sql(ORACLE["similarity_backtest"]).fetchall())
+    assert [n for _, n, *_ in want] == [63] * 3
+    for got, row in zip(sorted(map(tuple, QUERIES["similarity_backtest"](spark, str(tmp_path)).collect())), want, strict=True):
+        assert got == pytest.approx(row)
+
+
 SMALL = "/root/testdata/sf0.001"
 
 
